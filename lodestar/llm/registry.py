@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dedup
+from .queries import dedup, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**dedup.QUERIES}
+    return {**dedup.QUERIES, **lines.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**dedup.SQL}
+    return {**dedup.SQL, **lines.SQL}
