@@ -87,7 +87,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack_bits(n_lines: int, dropped: list[int]) -> bytes:
     """A zlib-compressed bitmap, one bit a line, set where the line stays."""
-    bits = np.ones(n_lines, dtype=np.uint8)
+    bits = np.ones(-(-n_lines // 8) * 8, dtype=np.uint8)  # what pads the last byte stays
     bits[np.asarray(dropped, dtype=np.int64)] = 0
     return zlib.compress(np.packbits(bits).tobytes(), 1)
 
