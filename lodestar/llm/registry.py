@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dedup, lines
+from .queries import dedup, lines, packed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**dedup.QUERIES, **lines.QUERIES}
+    return {**dedup.QUERIES, **lines.QUERIES, **packed.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**dedup.SQL, **lines.SQL}
+    return {**dedup.SQL, **lines.SQL, **packed.SQL}
