@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dedup, lines, packed, shards
+from .queries import chats, dedup, lines, packed, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**dedup.QUERIES, **lines.QUERIES, **packed.QUERIES, **shards.QUERIES}
+    return {**chats.QUERIES, **dedup.QUERIES, **lines.QUERIES, **packed.QUERIES, **shards.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**dedup.SQL, **lines.SQL, **packed.SQL, **shards.SQL}
+    return {**chats.SQL, **dedup.SQL, **lines.SQL, **packed.SQL, **shards.SQL}
