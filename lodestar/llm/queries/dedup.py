@@ -1,4 +1,4 @@
-"""Near-duplicate detection over ``documents``."""
+"""Near-duplicate detection over ``documents`` and ``embeddings``."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from ..neardup import NearDup, near_duplicates
+from ..vecdup import near_vectors
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(words=2))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op8_embedding_near_dedup": op8_embedding_near_dedup}
 
 SQL = {
     "op1_minhash_near_dedup": r"""
@@ -32,5 +37,17 @@ WITH RECURSIVE words AS (
 ), lows AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sets s JOIN lows l ON l.node = s.doc_id
-"""
+""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE norms AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+), good AS (SELECT * FROM norms WHERE n > 0 AND isfinite(n) AND len(list_filter(v, lambda x: x IS NULL)) = 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98
+), reach(root, node) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.root, l.w FROM reach r JOIN links l ON r.node = l.u
+), lows AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1
+), counts AS (SELECT u, count(*) AS n FROM links GROUP BY 1)
+SELECT l.node AS vec_id, coalesce(c.n, 0) AS n_links, l.component_id, l.node = l.component_id AS kept FROM lows l LEFT JOIN counts c ON c.u = l.node
+""",
 }
