@@ -7,10 +7,10 @@ How groups of copies are kept in bounds:
 
 * Equal shingle sets form a class first; only one representative of a class goes on.
 * A bucket links its members to its smallest member only. After components are
-  known, buckets that still hold several components are compared in tiles, by
-  signature, and only pairs of different components that may pass are confirmed.
-  So every pair that shares a bucket is either confirmed, refused on its full
-  sets or signature, or lies in one component already.
+  known, the members of buckets that still hold several components meet under that
+  smallest member, in cells of two tiles, where pairs of different components are
+  refused by signature or judged on full sets; only links come out. So every pair
+  that shares a bucket is judged, or lies in one component already.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from .common import as_list_array, byte_chunks, forget, save
 from .components import connected_components
 from .wordhash import SPACED, grams, hash_words, mix
 
-TILE = 256
+TILE = 512
 
 
 @dataclass(frozen=True)
@@ -36,14 +35,14 @@ class NearDup:
     """``words`` a shingle; link at ``percent`` or more; ``bands`` of ``rows`` minima.
 
     A pair at 0.8 shares no band with probability (1 - 0.8**5)**40 = 1.3e-7. ``doubt``
-    is the share of equal minima below which a tile drops a pair: 7 deviations under 0.8.
+    is the share of equal minima below which a tile drops a pair: 5 deviations under 0.8.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 5
-    doubt: float = 0.6
+    doubt: float = 0.66
     seed: int = 1
 
 
@@ -112,18 +111,32 @@ def _full_sets(p: NearDup):
 def _compare_tiles(p: NearDup):
     k = p.bands * p.rows
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-        low = [np.frombuffer(b"".join(x.minima), np.uint32).reshape(-1, k) for x in (one, two)]
-        doc, part = [x.doc.to_numpy() for x in (one, two)], [x.component.to_numpy() for x in (one, two)]
-        found = []
-        for i in range(len(doc[0])):
-            equal = (low[1] == low[0][i]).sum(axis=1) >= p.doubt * k
-            for j in np.flatnonzero(equal & (part[1] != part[0][i])):
-                found.append((min(doc[0][i], doc[1][j]), max(doc[0][i], doc[1][j])))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64").drop_duplicates()
+    def run(cell: pa.Table) -> pa.Table:
+        """Confirmed links between the two sides of a cell, of different components."""
+        sides = []
+        column = cell.column("side").to_numpy()
+        for s in (0, 1):
+            own = cell.filter(pa.array(column == s)).combine_chunks()
+            low = np.frombuffer(b"".join(own.column("minima").to_pylist()), np.uint32).reshape(-1, k)
+            sets = [x.values.to_numpy().view(np.uint64) for x in own.column("items")]
+            sides.append((own.column("doc").to_numpy(), own.column("component").to_numpy(), low, sets))
+        (doc, part, low, sets), (doc2, part2, low2, sets2) = sides
+        u, v = [], []
+        for i in range(len(doc)):
+            if not len(doc2):
+                break
+            near = np.flatnonzero((part2 != part[i]) & ((low2 == low[i]).sum(axis=1) >= p.doubt * k))
+            if not len(near):
+                continue
+            own, sizes = sets[i], np.array([len(sets2[j]) for j in near])
+            flat = np.concatenate([sets2[j] for j in near])
+            at = np.searchsorted(own, flat)
+            at[at == len(own)] = 0
+            shared = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+            for j in near[100 * shared >= p.percent * (len(own) + sizes - shared)]:
+                u.append(int(doc[i]))
+                v.append(int(doc2[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -177,17 +190,25 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     first, path = connected_components(links)
     paths.append(path)
 
-    # Buckets that hold several components still: compare in tiles.
-    named = shared.join(first, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and n > 2").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    minima = ours.select(F.col("doc_id").alias("m_doc"), "minima")
-    left = named.join(mixed, "bucket").join(minima, F.col("doc") == F.col("m_doc"))
+    # Buckets that hold several components still: their members meet under the bucket's
+    # smallest member, once for all bands, and are compared in cells of two tiles.
+    named = shared.join(first, F.col("doc") == F.col("node"), "left").select("bucket", "hub", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and n > 2").select("bucket")
+    family, path = save(named.join(mixed, "bucket", "left_semi").select("hub", "doc", "component").distinct(), "families")
+    paths.append(path)
+    tiles = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    wanted = docs.join(family.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.mapInArrow(_full_sets(p), "doc_id long, items array<long>").dropDuplicates(["doc_id"])
+    minima = ours.select("doc_id", "minima").dropDuplicates(["doc_id"])
+    parts, path = save(sets.join(minima, "doc_id").withColumnRenamed("doc_id", "m_doc"), "parts")
+    paths.append(path)
     mine = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    cells = left.withColumn("t", mine).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
+    cells = family.join(tiles, "hub").withColumn("t", mine).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     # A tile meets itself and every other tile once; side 0 is the tile of the smaller number.
-    cells = cells.select("bucket", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.explode(F.when(F.col("t") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("t") < F.col("o"), 0).otherwise(1)))).alias("side"), "doc", "component", "minima")
-    more = cells.groupBy("bucket", "i", "j").applyInPandas(_compare_tiles(p), "u long, v long").distinct()
-    late, path = save(_confirm(more, docs, p, paths), "links")
+    side = F.when(F.col("t") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("t") < F.col("o"), 0).otherwise(1)))
+    cells = cells.select("hub", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.explode(side).alias("side"), "doc", "component")
+    cells = cells.join(parts, F.col("doc") == F.col("m_doc")).drop("m_doc")
+    late, path = save(cells.groupBy("hub", "i", "j").applyInArrow(_compare_tiles(p), "u long, v long").distinct(), "links")
     paths.append(path)
     last, _ = connected_components(late.union(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     forget(spark, *paths)
