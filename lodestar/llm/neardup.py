@@ -15,6 +15,7 @@ How groups of copies are kept in bounds:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,12 +56,26 @@ def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         yield np.unique(grams(own, n) if c >= n else grams(own, c) if c else own)
 
 
+@functools.lru_cache(maxsize=4)
+def _hashes(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, 2**32, k, dtype=np.uint32) | np.uint32(1))[:, None], rng.integers(0, 2**32, k, dtype=np.uint32)[:, None]
+
+
+def _minima(items: np.ndarray, p: NearDup) -> np.ndarray:
+    """The smallest value of each hash over a set that is not empty."""
+    mul, add = _hashes(p.bands * p.rows, p.seed)
+    x = (items >> np.uint64(32)).astype(np.uint32)
+    best = None
+    for c in range(0, len(x), 4096):
+        part = (x[None, c : c + 4096] * mul + add).min(axis=1)
+        best = part if best is None else np.minimum(best, part)
+    return best
+
+
 def _profile(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = p.bands * p.rows
-        rng = np.random.default_rng(p.seed)
-        mul = (rng.integers(0, 2**32, k, dtype=np.uint32) | np.uint32(1))[:, None]
-        add = rng.integers(0, 2**32, k, dtype=np.uint32)[:, None]
         salt = mix(np.arange(1, p.bands + 1, dtype=np.uint64))
         for batch in batches:
             for a, b, texts in byte_chunks(batch.column("text")):
@@ -71,12 +86,7 @@ def _profile(p: NearDup):
                     sizes[i] = len(s)
                     if len(s):
                         ids[i] = s.sum(), mix(s).sum()
-                        x = (s >> np.uint64(32)).astype(np.uint32)
-                        best = None
-                        for c in range(0, len(x), 4096):
-                            part = (x[None, c : c + 4096] * mul + add).min(axis=1)
-                            best = part if best is None else np.minimum(best, part)
-                        low[i] = best
+                        low[i] = _minima(s, p)
                 key = np.zeros((m, p.bands), np.uint64)
                 for r in range(p.rows):
                     key = mix(key * np.uint64(31) + low[:, r :: p.rows].astype(np.uint64) + salt)
@@ -89,9 +99,8 @@ def _profile(p: NearDup):
                         pa.array(ids[:, 0].view(np.int64)),
                         pa.array(ids[:, 1].view(np.int64)),
                         as_list_array(key[held].view(np.int64).ravel(), counts, pa.int64()),
-                        pa.array([x.tobytes() for x in low], type=pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "minima"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
     return run
@@ -117,8 +126,8 @@ def _compare_tiles(p: NearDup):
         column = cell.column("side").to_numpy()
         for s in (0, 1):
             own = cell.filter(pa.array(column == s)).combine_chunks()
-            low = np.frombuffer(b"".join(own.column("minima").to_pylist()), np.uint32).reshape(-1, k)
             sets = [x.values.to_numpy().view(np.uint64) for x in own.column("items")]
+            low = np.array([_minima(x, p) for x in sets], np.uint32).reshape(-1, k)
             sides.append((own.column("doc").to_numpy(), own.column("component").to_numpy(), low, sets))
         (doc, part, low, sets), (doc2, part2, low2, sets2) = sides
         u, v = [], []
@@ -141,14 +150,8 @@ def _compare_tiles(p: NearDup):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, p: NearDup, paths: list[str]) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
-    pairs, path = save(pairs, "pairs")
-    paths.append(path)
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(p), "doc_id long, items array<long>")
-    sets, path = save(sets, "sets")
-    paths.append(path)
     left = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
     both = pairs.join(left, "u").join(right, "v").withColumn("shared", F.size(F.array_intersect("a", "b")).cast("long"))
@@ -168,9 +171,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, _ = save(docs.mapInArrow(_profile(p), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, minima binary"), "minima")
+    rows, _ = save(docs.mapInArrow(_profile(p), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"), "minima")
     live = rows.where("n_shingles > 0 and doc_id is not null")
-    classes, _ = save(live.groupBy("set_a", "set_b", F.col("n_shingles").alias("set_n")).agg(F.min("doc_id").alias("rep")), "classes")
+    # Rows of a class have the same keys.
+    classes, _ = save(live.groupBy("set_a", "set_b", F.col("n_shingles").alias("set_n")).agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "classes")
     paths: list[str] = []
 
     # A document is in as many classes as it has rows of different texts; those are links too.
@@ -178,14 +182,16 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     twice = live.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
     own = same.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    reps = classes.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"r_{c}") for c in ("set_a", "set_b")])
-    ours = live.join(reps, "doc_id").where("set_a = r_set_a and set_b = r_set_b")
-    buckets = ours.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("doc"))
+    buckets = classes.select(F.explode("keys").alias("bucket"), F.col("rep").alias("doc"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     shared, path = save(buckets.join(hubs, "bucket"), "buckets")
     paths.append(path)
     stars = shared.where("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
-    links, path = save(_confirm(stars, docs, p, paths).union(own), "links")
+    wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(p), "doc_id long, items array<long>")
+    sets, path = save(sets, "sets")
+    paths.append(path)
+    links, path = save(_confirm(stars, sets, p).union(own), "links")
     paths.append(path)
     first, path = connected_components(links)
     paths.append(path)
@@ -197,16 +203,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     family, path = save(named.join(mixed, "bucket", "left_semi").select("hub", "doc", "component").distinct(), "families")
     paths.append(path)
     tiles = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    wanted = docs.join(family.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_full_sets(p), "doc_id long, items array<long>").dropDuplicates(["doc_id"])
-    minima = ours.select("doc_id", "minima").dropDuplicates(["doc_id"])
-    parts, path = save(sets.join(minima, "doc_id").withColumnRenamed("doc_id", "m_doc"), "parts")
-    paths.append(path)
     mine = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
     cells = family.join(tiles, "hub").withColumn("t", mine).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     # A tile meets itself and every other tile once; side 0 is the tile of the smaller number.
     side = F.when(F.col("t") == F.col("o"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("t") < F.col("o"), 0).otherwise(1)))
     cells = cells.select("hub", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.explode(side).alias("side"), "doc", "component")
+    parts = sets.select(F.col("doc_id").alias("m_doc"), "items")
     cells = cells.join(parts, F.col("doc") == F.col("m_doc")).drop("m_doc")
     late, path = save(cells.groupBy("hub", "i", "j").applyInArrow(_compare_tiles(p), "u long, v long").distinct(), "links")
     paths.append(path)
