@@ -63,8 +63,9 @@ def arimax_forecast(history: DataFrame, future: DataFrame, by: list[str], order:
         return ahead.assign(forecast=mean, lower=low, upper=high)
 
     keep = [*by, *order, *regressors]
-    left = history.select(*keep, value).groupBy(*by)
-    return left.cogroup(future.select(*keep).groupBy(*by)).applyInPandas(run, _kinds(future, keep) + ", forecast double, lower double, upper double")
+    # Aliases keep the two sides apart where both come from one table.
+    left = history.select(*[F.col(c).alias(c) for c in (*keep, value)]).groupBy(*by)
+    return left.cogroup(future.select(*[F.col(c).alias(c) for c in keep]).groupBy(*by)).applyInPandas(run, _kinds(future, keep) + ", forecast double, lower double, upper double")
 
 
 def partial_autocorrelation(acf: DataFrame, by: list[str]) -> DataFrame:
