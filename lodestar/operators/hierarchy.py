@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..semantics import settled
+
 
 def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     """(root, id, depth): each node with each of its ancestors and itself, by doubling of paths.
 
     Each step joins paths of length up to 2**k with themselves, so a tree of depth d
-    takes log2(d) joins. More than ``most_depth`` levels, or a cycle, is an error.
+    takes log2(d) joins, each written to the shared folder. Paths of more than about
+    ``most_depth`` levels, as a cycle has, are not followed to their end.
     """
     up = edges.select("id", "parent")
-    near = up.select("id", F.col("parent").alias("root"), F.lit(1).alias("depth")).where("id <> root")
-    paths = near
+    paths = settled(up.select("id", F.col("parent").alias("root"), F.lit(1).alias("depth")).where("id <> root"))
     length = 1
     while length < most_depth:
         step = paths.where(F.col("depth") == length).select(F.col("id").alias("low"), F.col("root").alias("mid"))
-        more = step.join(paths.select(F.col("id").alias("mid"), "root", "depth"), "mid").select(F.col("low").alias("id"), "root", (F.col("depth") + length).alias("depth"))
-        if not more.limit(1).count():
+        more = settled(step.join(paths.select(F.col("id").alias("mid"), "root", "depth"), "mid").select(F.col("low").alias("id"), "root", (F.col("depth") + length).alias("depth")))
+        if not more.take(1):
             break
-        paths = paths.union(more)
+        paths = settled(paths.union(more))
         length *= 2
     return paths.select("root", "id", "depth").union(up.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..operators import columns as C
 from ..operators import folds, models
 from ..sources.ocf import OcfSource
 from ..sources.versioned import VersionedTable
+from ..semantics import shared_folder
 from .basics import _events, _r, _t
 
 QUERIES: dict = {}
@@ -29,12 +27,6 @@ def _register(sql: str | None = None):
     return put
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder every executor sees: the one the session names, or one of this machine where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestar-shared"
-    return f"{named.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
-
-
 _S = "s AS (SELECT user_id AS k, event_id, value AS x, epoch_ns(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
 #: Readings that move their user's time forward.
 _A = """s0 AS (SELECT user_id AS k, event_id, value AS x, epoch_ns(ts) AS t, max(epoch_ns(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM events
@@ -216,7 +208,7 @@ def salvage_candidates(spark, d):
 @_register("SELECT vec_id, label, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
 def avro_round_trip(spark, d):
     spark.dataSource.register(OcfSource)
-    path = f"{scratch(spark)}.ocf"
+    path = f"{shared_folder(spark)}.ocf"
     _t(spark, d, "embeddings").write.format("ocf").mode("append").save(path)
     got = spark.read.format("ocf").load(path)
     return got.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
@@ -224,7 +216,7 @@ def avro_round_trip(spark, d):
 
 def _versions(spark: SparkSession, d: str) -> VersionedTable:
     """Three upserts and a delete of customers."""
-    t = VersionedTable(spark, scratch(spark), "customers")
+    t = VersionedTable(spark, shared_folder(spark), "customers")
     rows = _t(spark, d, "customer").select(F.format_string("c%08d", "c_custkey").alias("key"), F.col("c_custkey").alias("n"))
 
     def put(where: str, tag: str) -> None:

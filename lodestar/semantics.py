@@ -6,6 +6,9 @@ Aggregates that must show a missing value return NaN, as the operators' users ex
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +50,19 @@ def accepted(df: DataFrame, by: list[str], arrival: list[str], at: str, value: s
 def clamped(by: list[str], arrival: list[str], at: str) -> Column:
     """Time that never goes back: a late reading counts at the latest time seen."""
     return F.max(at).over(running(by, arrival))
+
+
+def shared_folder(spark) -> str:
+    """A new folder name in the place every executor sees; one of this machine only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestar-shared"
+    return f"{named.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so later plans do not grow with its own."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,14 +1,15 @@
 import pytest
 
-from lodestar.plans import basics
+from lodestar.plans import basics, stateful
 
 from .conftest import SF
 from .oracle import rows_of_frame, rows_of_sql
 
 
-@pytest.mark.parametrize("name", sorted(basics.SQL))
+@pytest.mark.parametrize("name", sorted(basics.SQL | stateful.SQL))
 def test_query_equals_its_sql(spark, name):
-    assert rows_of_frame(basics.QUERIES[name](spark, SF)) == rows_of_sql(basics.SQL[name], SF)
+    query, sql = (basics.QUERIES | stateful.QUERIES)[name], (basics.SQL | stateful.SQL)[name]
+    assert rows_of_frame(query(spark, SF)) == rows_of_sql(sql, SF)
 
 
 def test_entry_runs(spark):
