@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,14 +186,30 @@ def link_hash(prev: Column, body: Column, domain: str) -> Column:
 
 
 def chain_seal(df: DataFrame, by: list[str], seq: str, body: str, domain: str, root: str = "") -> DataFrame:
-    """(seq, prev, hash, body) of each chain, sealed in order. A chain is one fold: each hash needs the one before."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(body).cast("binary").alias("body"))))
-    kind = "array<struct<seq:bigint,prev:string,hash:string,body:binary>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(root))
-        link = F.struct(x["seq"].cast("bigint").alias("seq"), prev.alias("prev"), link_hash(prev, x["body"], domain).alias("hash"), x["body"].alias("body"))
-        return F.concat(acc, F.array(link))
+    """(seq, prev, hash, body) of each chain, sealed in order. A chain is one fold: each hash needs the one before.
 
-    sealed = df.groupBy(*by).agg(F.aggregate(items, F.array().cast(kind), step).alias("__l"))
-    return sealed.select(*by, F.explode("__l").alias("__x")).select(*by, F.col("__x.seq").alias(seq), "__x.prev", "__x.hash", "__x.body")
+    Rows are sorted within the partition of their chain and streamed with one running
+    hash, so the length of a chain is not held in memory. A null body has no hash, and
+    the link after it starts from ``root``.
+    """
+    rows = df.select(*by, F.col(seq).cast("bigint").alias(seq), F.col(body).cast("binary").alias("body"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    head = domain.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, root
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(len(by))]
+            keys = [tuple("NaN" if x != x else x for x in k) for k in zip(*cols, strict=True)] if by else [()] * batch.num_rows
+            prevs, hashes = [], []
+            for k, x in zip(keys, batch.column(len(by) + 1).to_pylist(), strict=True):
+                if k != key:
+                    key, last = k, root
+                own = None if x is None else hashlib.sha256(b"%b%b\0%b" % (head, last.encode(), x)).hexdigest()
+                prevs.append(last)
+                hashes.append(own)
+                last = root if own is None else own
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prevs, pa.string()), pa.array(hashes, pa.string()), batch.columns[-1]], [*batch.schema.names[:-1], "prev", "hash", "body"])
+
+    dealt = rows.repartition(*[F.col(c) for c in by]) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*by, seq, "body").mapInArrow(run, f"{kinds}, prev string, hash string, body binary")

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import threading
 import time
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from lodestar.functions import jsonfind
 from lodestar.operators import hierarchy as H
 from lodestar.operators import search as Q
 from lodestar.operators import series as S
+from lodestar.plans import basics
 from lodestar.sources import config, ocf, toon
 from lodestar.sources.versioned import Conflict, Corrupt, TableError, VersionedTable
 
@@ -221,3 +223,31 @@ def test_budget():
     assert {r["phase"]: r["status"] for r in b.finalize(90)} == {"a": "overrun", "b": "abandoned", "c": "missing", "d": "missing"}
     with pytest.raises(ValueError):
         Plan((Phase("a", 1, 1), Phase("b", 0, 1))).validate()
+
+
+def test_chain_is_a_streaming_fold(spark):
+    """A long chain, a null key and a null body against hashlib; the plan collects no chain."""
+    rows = [(k % 3 or None, k, None if k == 7 else f"body {k}".encode()) for k in range(30_000)]
+    sealed = S.chain_seal(spark.createDataFrame(rows, "c int, seq long, body binary").repartition(5), ["c"], "seq", "body", "d", "r")
+    assert "collect_list" not in sealed._jdf.queryExecution().toString()
+    want, last = [], {}
+    for c, seq, body in rows:
+        prev = last.get(c) or "r"
+        last[c] = None if body is None else hashlib.sha256(b"d" + prev.encode() + b"\0" + body).hexdigest()
+        want.append((c, seq, prev, last[c], body))
+    got = sealed.collect()
+    assert sealed.columns == ["c", "seq", "prev", "hash", "body"]
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+
+
+def test_whole_of_events_is_sealed(spark, tmp_path):
+    rows = [(k, "t", 1.5) for k in range(2500)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.chain, r.seq): (r.prev, r.hash) for r in basics.QUERIES["chain_seal_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2500
+    for c in range(20):
+        prev = ""
+        for seq in range(c, 2500, 20):
+            own = hashlib.sha256(b"lodestar-chain-1" + prev.encode() + f"\0{seq}|t|1".encode()).hexdigest()
+            assert got[c, seq] == (prev, own)
+            prev = own
