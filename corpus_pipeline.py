@@ -37,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items leave."""
-    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents with half or more of the windows of one benchmark item, or windows of two or more items, leave."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), decontam.Decontaminate(share=0.5))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

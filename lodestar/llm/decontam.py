@@ -14,6 +14,7 @@ documents, whose hit positions are then united. Documents are never shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,16 @@ from .wordhash import ALNUM, grams, hash_words
 
 @dataclass(frozen=True)
 class Decontaminate:
-    """``window`` words make a hit; ``k`` a fingerprint; ``items`` hit items contaminate a document."""
+    """``window`` words make a hit; ``k`` a fingerprint; ``items`` hit items contaminate a document.
+
+    So does ``share`` of the different windows of any one item; above 1, no share does.
+    """
 
     window: int = 8
     k: int = 5
     items: int = 2
     block_bytes: int = 16 << 20
+    share: float = 2.0
 
 
 def _winnow(hashes: np.ndarray, run: int) -> np.ndarray:
@@ -56,20 +61,22 @@ class Index:
         self.p = p
         words, counts = hash_words(texts, ALNUM)
         prints, at = [], 0
-        windows: dict[int, dict[int, set[str]]] = {}
-        for item, n in zip(ids, counts.tolist(), strict=True):
+        windows: dict[int, dict[int, set[int]]] = {}
+        sizes = []
+        for item, n in enumerate(counts.tolist()):
             own = words[at : at + n]
             at += n
-            if not n:
-                continue
             size = min(n, p.window)
-            for h in grams(own, size).tolist():
+            different = set(grams(own, size).tolist()) if n else set()
+            sizes.append(len(different))
+            for h in different:
                 windows.setdefault(size, {}).setdefault(h, set()).add(item)
             if n >= p.window:
                 g = grams(own, p.k)
                 prints.append(g[_winnow(g, p.window - p.k + 1)])
         self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
         self.windows = windows
+        self.ids, self.sizes = ids, sizes
         self.sorted = {n: np.array(sorted(w), dtype=np.uint64) for n, w in windows.items()}
 
     def _among(self, x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -79,8 +86,8 @@ class Index:
         at[at == len(known)] = 0
         return known[at] == x
 
-    def hits(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, set[str]]]:
-        """(text number, positions of hit words, items) of each text that has any hit."""
+    def hits(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, set[str], float]]:
+        """(text number, positions of hit words, items, largest share of an item's windows) of each text that has any hit."""
         p = self.p
         text_of = np.repeat(np.arange(len(counts)), counts)
         first = np.concatenate([[0], np.cumsum(counts)])
@@ -117,10 +124,10 @@ class Index:
             rel = own[:, 0] - first[doc]
             np.add.at(mask, rel, 1)
             np.add.at(mask, rel + own[:, 1], -1)
-            items: set[str] = set()
+            held: Counter[int] = Counter()
             for n, h in {(n, h) for n, h in zip(own[:, 1].tolist(), own[:, 2].view(np.uint64).tolist(), strict=True)}:
-                items |= self.windows[n][h]
-            yield doc, np.flatnonzero(np.cumsum(mask)[:-1] > 0), items
+                held.update(self.windows[n][h])
+            yield doc, np.flatnonzero(np.cumsum(mask)[:-1] > 0), {self.ids[i] for i in held}, max(c / self.sizes[i] for i, c in held.items())
 
 
 def grams_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -141,16 +148,18 @@ def _scan(held, p: Decontaminate):
                 words, counts = hash_words(texts, ALNUM)
                 spots: list[np.ndarray] = [np.zeros(0, np.int64)] * (b - a)
                 items: list[list[str]] = [[]] * (b - a)
-                for doc, at, own in index[0].hits(words, counts):
-                    spots[doc], items[doc] = at, sorted(own)
+                covered = np.zeros(b - a)
+                for doc, at, own, most in index[0].hits(words, counts):
+                    spots[doc], items[doc], covered[doc] = at, sorted(own), most
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("__row").slice(a, b - a),
                         pa.array(counts.astype(np.int64)),
                         as_list_array(np.concatenate(spots), np.array([len(x) for x in spots]), pa.int32()),
                         pa.array(items, type=pa.list_(pa.string())),
+                        pa.array(covered),
                     ],
-                    ["row", "n_words", "spots", "items"],
+                    ["row", "n_words", "spots", "items", "covered"],
                 )
 
     return run
@@ -169,11 +178,12 @@ def _blocks(items: DataFrame, p: Decontaminate) -> list[tuple[list[str], list[by
 
 
 def contamination(docs: DataFrame, bench: DataFrame, p: Decontaminate = Decontaminate(), keep_text: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: its row struct as ``row``, n_words, spots, items, contaminated.
+    """One row for each row of ``docs``: its row struct as ``row``, n_words, spots, items, covered, contaminated.
 
     ``docs`` needs text, ``bench`` item_id and text; other columns, whatever their
     names, ride along inside ``row``, text only if asked for. ``spots`` are the positions of hit
-    words, ``items`` the sorted ids (as strings) of items with a window in the text.
+    words, ``items`` the sorted ids (as strings) of items with a window in the text, ``covered`` the
+    largest share of the different windows of one item that are in the text.
     Null and empty texts have no words and no hits; an item without words or whose id
     is null is in no document. Repeated items count once by their id. An empty table
     of items hits nothing; an empty table of documents gives an empty table.
@@ -186,17 +196,17 @@ def contamination(docs: DataFrame, bench: DataFrame, p: Decontaminate = Decontam
     for block in _blocks(items, p) or [([], [])]:
         held = spark.sparkContext.broadcast(block)
         kind = src.schema["__row"].dataType.simpleString()
-        parts.append(src.mapInArrow(_scan(held, p), f"row {kind}, n_words long, spots array<int>, items array<string>"))
+        parts.append(src.mapInArrow(_scan(held, p), f"row {kind}, n_words long, spots array<int>, items array<string>, covered double"))
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.union(part)
         key = F.xxhash64("row", "n_words")
-        hit = found.where("size(items) > 0").groupBy("row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i")).withColumn("k", key)
+        hit = found.where("size(items) > 0").groupBy("row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"), F.max("covered").alias("c")).withColumn("k", key)
         all_rows = parts[0].select("row", "n_words").withColumn("k", key)
         none_s, none_i = F.array().cast("array<int>"), F.array().cast("array<string>")
-        found = all_rows.alias("a").join(hit.alias("h"), (F.col("a.k") == F.col("h.k")) & F.col("a.row").eqNullSafe(F.col("h.row")), "left").select("a.row", "a.n_words", F.coalesce("h.s", none_s).alias("spots"), F.coalesce("h.i", none_i).alias("items"))
-    return found.withColumn("contaminated", F.size("items") >= p.items)
+        found = all_rows.alias("a").join(hit.alias("h"), (F.col("a.k") == F.col("h.k")) & F.col("a.row").eqNullSafe(F.col("h.row")), "left").select("a.row", "a.n_words", F.coalesce("h.s", none_s).alias("spots"), F.coalesce("h.i", none_i).alias("items"), F.coalesce("h.c", F.lit(0.0)).alias("covered"))
+    return found.withColumn("contaminated", (F.size("items") >= p.items) | (F.col("covered") >= p.share))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, p: Decontaminate = Decontaminate()) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,16 @@ def test_word_hashes_tell_words_apart():
     words, counts = hash_words([t.encode() for t in texts], SPACED)
     assert counts.tolist() == [3, 0, 2, 1]
     assert words[0] == words[4] and words[1] == words[5] and len(set(words.tolist())) == 4
+
+
+def test_one_item_contaminates_by_share(spark):
+    words = [f"v{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(words)), (1, "a whole other wording of item one with ten words"), (2, "x y z x y z x y z x y z")], "item_id long, text string")
+    docs = [(1, "before " + " ".join(words) + " after"), (2, " ".join(words[:19])), (3, " ".join(words[:18])), (4, "a whole other wording of item one with ten words"), (5, "nothing of it"), (6, None), (7, "x y z x y z x y z x y z")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    p = decontam.Decontaminate(share=0.5)
+    for q in (p, replace(p, block_bytes=60)):
+        got = {r.row.doc_id: (r.covered, r.contaminated) for r in decontam.contamination(rows, items, q).collect()}
+        assert got == {1: (1.0, True), 2: (12 / 23, True), 3: (11 / 23, False), 4: (1.0, True), 5: (0.0, False), 6: (0.0, False), 7: (1.0, True)}
+        assert sorted(r.doc_id for r in decontam.drop_contaminated(rows, items, q).collect()) == [3, 5, 6]
+    assert not any(r.contaminated for r in decontam.contamination(rows, items).collect())

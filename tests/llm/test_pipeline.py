@@ -45,3 +45,19 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_run_returns_the_packed_rows(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_a_document_with_one_whole_item_leaves(spark):
+    """The decontamination stage on the raw documents against windows counted in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def windows(text):
+        w = brute.bench_words(text)
+        return {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+
+    items = {r.item_id: windows(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert all(items.values())
+    shares = {r.doc_id: [len(w & windows(r.text)) / len(w) for w in items.values()] for r in docs.collect()}
+    gone = {i for i, s in shares.items() if max(s) >= 0.5 or sum(x > 0 for x in s) >= 2}
+    assert any(sum(x > 0 for x in shares[i]) == 1 for i in gone)
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()} == set(shares) - gone
