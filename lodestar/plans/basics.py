@@ -111,6 +111,13 @@ def stats_benjamini_hochberg(spark, d):
     return C.benjamini_hochberg(rows, ["family"], "p").select("l_orderkey", "family", _r("q", 8).alias("q"))
 
 
+@_register()
+def stats_benjamini_hochberg_whole(spark, d):
+    """The families over all of lineitem; the query above keeps the first lines only, as its SQL does."""
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"), (F.col("l_extendedprice") % 1000 / 20000).alias("p"))
+    return C.benjamini_hochberg(rows, ["family"], "p").select("l_orderkey", "l_linenumber", "family", _r("q", 8).alias("q"))
+
+
 @_register(
     """WITH s AS (SELECT event_type, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events
 ), a AS (SELECT event_type, count(*) AS n, regr_slope(y, i) AS slope, regr_syy(y, i) AS yy, regr_sxy(y, i) AS xy, regr_sxx(y, i) AS xx FROM s GROUP BY 1)
