@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from ..semantics import settled
 
 
-def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
+class TreeError(ValueError):
+    """An edit that the structure does not allow, or edges that are no forest."""
+
+
+def closure(edges: DataFrame, drop_cycles: bool = False) -> DataFrame:
     """(root, id, depth): each node with each of its ancestors and itself, by doubling of paths.
 
     Each step joins paths of length up to 2**k with themselves, so a tree of depth d
-    takes log2(d) joins, each written to the shared folder. Paths of more than about
-    ``most_depth`` levels, as a cycle has, are not followed to their end.
+    takes log2(d) joins, each written to the shared folder, until none is longer. A node
+    that is its own ancestor raises :class:`TreeError`; with ``drop_cycles``, for edges
+    of one parent a node, paths that end on a cycle are left out instead.
     """
     up = edges.select("id", "parent")
     paths = settled(up.select("id", F.col("parent").alias("root"), F.lit(1).alias("depth")).where("id <> root"))
     length = 1
-    while length < most_depth:
+    while True:
         step = paths.where(F.col("depth") == length).select(F.col("id").alias("low"), F.col("root").alias("mid"))
         more = settled(step.join(paths.select(F.col("id").alias("mid"), "root", "depth"), "mid").select(F.col("low").alias("id"), "root", (F.col("depth") + length).alias("depth")))
         if not more.take(1):
             break
-        paths = settled(paths.union(more))
+        around = more.where("id = root").select("root")
+        found = around.take(1)
+        if found and not drop_cycles:
+            raise TreeError(f"{found[0][0]!r} is on a cycle")
+        paths = paths.union(more)
+        paths = settled(paths.join(around.distinct(), "root", "left_anti").select("id", "root", "depth") if found else paths)
         length *= 2
     return paths.select("root", "id", "depth").union(up.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
 
@@ -61,17 +71,13 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change")).where("change is not null")
 
 
-class TreeError(ValueError):
-    """An edit that the structure does not allow."""
-
-
 def check(edges: DataFrame) -> DataFrame:
     """(id, problem) of nodes that are doubled, whose parent is unknown, or that never reach a root."""
     twice = edges.groupBy("id").count().where("count > 1").select("id", F.lit("exists").alias("problem"))
     ids = edges.select(F.col("id").alias("parent")).distinct()
     orphan = edges.join(ids, "parent", "left_anti").select("id", F.lit("unknown parent").alias("problem"))
     roots = edges.where("id = parent").select(F.col("id").alias("root"))
-    reached = closure(edges.dropDuplicates(["id"]), 1 << 12).join(roots, "root", "left_semi").select("id").distinct()
+    reached = closure(edges.dropDuplicates(["id"]), drop_cycles=True).join(roots, "root", "left_semi").select("id").distinct()
     loop = edges.join(reached, "id", "left_anti").join(orphan.select("id"), "id", "left_anti").select("id", F.lit("cycle or below an unknown parent").alias("problem"))
     return twice.union(orphan).union(loop)
 

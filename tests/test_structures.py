@@ -43,6 +43,28 @@ def test_tree_check(spark):
     assert got == {("a", "exists"), ("b", "unknown"), ("p", "cycle"), ("q", "cycle")}
 
 
+def test_deep_tree(spark):
+    """Nothing is cut at any depth."""
+    n = 300
+    deep = spark.createDataFrame([(k, max(0, k - 1), float(k)) for k in range(n)], "id long, parent long, own double").cache()
+    assert {r.id: r.total for r in H.subtree_sums(deep).collect()} == {k: sum(range(k, n)) for k in range(n)}
+    assert {(r.largest, r.holder) for r in H.subtree_max(deep).collect()} == {(n - 1.0, n - 1)}
+    assert {r.id: r.path for r in H.paths(deep).collect()} == {k: list(range(k + 1)) for k in range(n)}
+    assert [r.id for r in H.top_k(deep, 1).where("root = 0").collect()] == [n - 1]
+    with pytest.raises(H.TreeError):
+        H.move(deep, 1, n - 1)
+    assert [r.id for r in H.remove(deep, 1, subtree=True).collect()] == [0]
+
+
+def test_cycles_raise_and_are_found(spark):
+    rows = [(0, 0, 1.0), (1, 0, 1.0)] + [(k, k - 1 if k > 10 else 89, 1.0) for k in range(10, 90)] + [(100, 50, 1.0), (101, 100, 1.0)]
+    edges = spark.createDataFrame(rows, "id long, parent long, own double")
+    with pytest.raises(H.TreeError):
+        H.subtree_sums(edges)
+    got = {(r.id, r.problem.split()[0]) for r in H.check(edges).collect()}
+    assert got == {(k, "cycle") for k in [*range(10, 90), 100, 101]}
+
+
 def test_search_explains_itself(spark):
     docs = spark.createDataFrame([("a", "red fox red"), ("b", "Red dog"), ("c", ""), ("d", None)], "doc_id string, text string")
     asked = spark.createDataFrame([(1, "red red fox"), (2, "nothing")], "query_id int, text string")
