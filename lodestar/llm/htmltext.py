@@ -4,9 +4,10 @@ Markup is stripped into lines, one a block element, in page order. Lines of menu
 headers, footers, sidebars, notices, adverts, forms and reader comments go, as their
 elements or class, id and role names tell. Over what is left, text lengths are summed
 over sliding windows of lines; the text surges where sums rise from nothing and dives
-where they fall to nothing again. The run between a surge and a dive with most text is
-the main text. Where that run lies in an ``article`` or ``main`` element, surge and
-dive are moved out to its edges, so short first and last lines of an article stay.
+where they fall to nothing again. All lines from the first surge to the last dive are
+the main text, short ones between two runs too. Where the run with most text lies in an
+``article`` or ``main`` element, surge and dive are moved to the edges of the first and
+last such element, so short first and last lines and sibling articles stay.
 """
 
 from __future__ import annotations
@@ -141,24 +142,24 @@ def main_text(page: str, p: LineBlocks = LineBlocks()) -> str:
     for i, s in enumerate(sums):
         if s >= p.least:
             inside[i : i + p.window] = [True] * min(p.window, n - i)
-    best, at = (0, 0, n), 0
+    best, at, surge, dive = (0, 0, n), 0, n, 0
     while at < n:
         end = at
         while end < n and inside[end] == inside[at]:
             end += 1
-        if inside[at] and sum(sizes[at:end]) > best[0]:
-            best = (sum(sizes[at:end]), at, end)
+        if inside[at]:
+            surge, dive = min(surge, at), end
+            best = max(best, (sum(sizes[at:end]), -at, end))
         at = end
-    surge, dive = best[1], best[2]
-    held: dict[int, int] = {}
-    for k in range(surge, dive):
-        held[lines[k][1]] = held.get(lines[k][1], 0) + sizes[k]
-    within = max((m for m in held if m), key=lambda m: held[m], default=0)
-    if within:
-        return "\n".join(t for t, m in lines if m == within)
+    if any(m for _, m in lines[-best[1] : best[2]]):
+        held = [k for k in range(n) if lines[k][1]]
+        surge, dive = held[0], held[-1] + 1
+    elif not best[0]:
+        surge, dive = 0, n
     return "\n".join(t for t, _ in lines[surge:dive])
 
 
+
 def _extract(p: LineBlocks, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -143,3 +143,19 @@ def test_pages(spark):
 def test_long_page_keeps_all_of_the_article():
     body = "".join(f"<p>Paragraph {k} with some words.</p><p>ok</p>" for k in range(3000))
     assert htmltext.main_text(f"<nav>{'<a>x</a>' * 500}</nav><article>{body}</article><footer>bye</footer>").count("\n") == 5999
+
+
+def test_page_without_article_keeps_tables_and_short_lists():
+    table = "".join(f"<tr><td>{k}</td><td>{k * 7}</td></tr>" for k in range(12))
+    items = "".join(f"<li>{k}</li>" for k in "abcdefgh")
+    page = f"<nav><a>Home</a></nav><div><p>{'first ' * 20}</p><table>{table}</table><p>{'second ' * 10}</p><ul>{items}</ul><p>{'third ' * 10}</p></div><footer>{'bye ' * 50}</footer>"
+    cells = [str(x) for k in range(12) for x in (k, k * 7)]
+    assert htmltext.main_text(page).split("\n") == [("first " * 20).strip(), *cells, ("second " * 10).strip(), *"abcdefgh", ("third " * 10).strip()]
+
+
+def test_sibling_articles_stay():
+    def article(word, extra=""):
+        return f"<article{extra}><p>{word * 30}</p></article>"
+
+    page = f"<div><p>menu</p>{article('one ')}<p>between</p>{article('two ')}{article('noise ', ' class=comment')}{article('x')}<p>tail</p></div>"
+    assert htmltext.main_text(page).split("\n") == [("one " * 30).strip(), "between", ("two " * 30).strip(), "x" * 30]
