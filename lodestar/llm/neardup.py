@@ -9,7 +9,7 @@ How groups of copies are kept in bounds:
 * A bucket links its members to its smallest member only. After components are
   known, the members of buckets that still hold several components meet under that
   smallest member, in cells of two tiles, where pairs of different components are
-  refused by signature or judged on full sets; only links come out. So every pair
+  judged on full sets; only links come out. So every pair
   that shares a bucket is judged, or lies in one component already.
 """
 
@@ -35,15 +35,13 @@ TILE = 512
 class NearDup:
     """``words`` a shingle; link at ``percent`` or more; ``bands`` of ``rows`` minima.
 
-    A pair at 0.8 shares no band with probability (1 - 0.8**5)**40 = 1.3e-7. ``doubt``
-    is the share of equal minima below which a tile drops a pair: 5 deviations under 0.8.
+    A pair at 0.8 shares no band with probability (1 - 0.8**5)**40 = 1.3e-7.
     """
 
     words: int = 5
     percent: int = 80
     bands: int = 40
     rows: int = 5
-    doubt: float = 0.66
     seed: int = 1
 
 
@@ -118,31 +116,30 @@ def _full_sets(p: NearDup):
 
 
 def _compare_tiles(p: NearDup):
-    k = p.bands * p.rows
-
     def run(cell: pa.Table) -> pa.Table:
-        """Confirmed links between the two sides of a cell, of different components."""
+        """Links between the two sides of a cell, of different components, by exact intersections."""
         sides = []
         column = cell.column("side").to_numpy()
         for s in (0, 1):
             own = cell.filter(pa.array(column == s)).combine_chunks()
             sets = [x.values.to_numpy().view(np.uint64) for x in own.column("items")]
-            low = np.array([_minima(x, p) for x in sets], np.uint32).reshape(-1, k)
-            sides.append((own.column("doc").to_numpy(), own.column("component").to_numpy(), low, sets))
-        (doc, part, low, sets), (doc2, part2, low2, sets2) = sides
+            sides.append((own.column("doc").to_numpy(), own.column("component").to_numpy(), sets))
+        (doc, part, sets), (doc2, part2, sets2) = sides
         u, v = [], []
-        for i in range(len(doc)):
-            if not len(doc2):
-                break
-            near = np.flatnonzero((part2 != part[i]) & ((low2 == low[i]).sum(axis=1) >= p.doubt * k))
-            if not len(near):
+        sizes = np.array([len(x) for x in sets2], np.int64)
+        flat = np.concatenate(sets2) if sets2 else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], np.repeat(np.arange(len(sets2)), sizes)[order]
+        for i, own in enumerate(sets):
+            n = len(own)
+            near = (part2 != part[i]) & (100 * np.minimum(sizes, n) >= p.percent * np.maximum(sizes, n))
+            if not near.any():
                 continue
-            own, sizes = sets[i], np.array([len(sets2[j]) for j in near])
-            flat = np.concatenate([sets2[j] for j in near])
-            at = np.searchsorted(own, flat)
-            at[at == len(own)] = 0
-            shared = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-            for j in near[100 * shared >= p.percent * (len(own) + sizes - shared)]:
+            first = np.searchsorted(flat, own)
+            runs = np.searchsorted(flat, own, "right") - first
+            at = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            shared = np.bincount(holder[at], minlength=len(doc2))
+            for j in np.flatnonzero(near & (100 * shared >= p.percent * (n + sizes - shared))):
                 u.append(int(doc[i]))
                 v.append(int(doc2[j]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

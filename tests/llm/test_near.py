@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -112,3 +113,21 @@ def test_vector_links_equal_brute_force(spark, seed, tile):
 
 def test_no_vectors(spark):
     assert vecdup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_cells_lose_no_link():
+    """Pairs around 0.8 whose few minima often differ: full sets alone decide."""
+    rng = np.random.default_rng(3)
+    p = neardup.NearDup(bands=2, rows=2)
+    base = rng.integers(0, 2**63, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(75, 91)], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(60)]
+    rows = [{"side": i % 2, "doc": i, "component": i // 4, "items": s.view(np.int64).tolist()} for i, s in enumerate(sets)]
+    kinds = pa.schema([("side", pa.int32()), ("doc", pa.int64()), ("component", pa.int64()), ("items", pa.list_(pa.int64()))])
+    got = neardup._compare_tiles(p)(pa.Table.from_pylist(rows, kinds)).to_pylist()
+
+    def close(a, b):
+        both = len(np.intersect1d(a, b))
+        return 100 * both >= 80 * (len(a) + len(b) - both)
+
+    want = {(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2) if i // 4 != j // 4 and close(sets[i], sets[j])}
+    assert 50 < len(want) < 800 and {(r["u"], r["v"]) for r in got} == want
