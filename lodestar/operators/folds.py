@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.steps import Cooldown
+from ..semantics import settled
 
 
 def fold(df: DataFrame, by: list[str], order: list[str], kernel, value: str, at: str | None = None) -> DataFrame:
@@ -47,9 +48,11 @@ def shared_clock(df: DataFrame, arrival: str, at: str, out: str = "clock") -> Da
     """Latest time seen by any row so far, in order of ``arrival``.
 
     Rows are range-partitioned by arrival; a partition's running maximum starts from the
-    largest of all earlier partitions, a table of one row a partition.
+    largest of all earlier partitions, a table of one row a partition. The dealt rows are
+    written once, because ranges are sampled and partitions coalesced anew each time a
+    plan runs, and both sides of the join must see the same ones.
     """
-    dealt = df.repartitionByRange(F.col(arrival)).withColumn("__p", F.spark_partition_id())
+    dealt = settled(df.repartitionByRange(F.col(arrival)).withColumn("__p", F.spark_partition_id()))
     dealt = dealt.withColumn("__r", F.max(at).over(Window.partitionBy("__p").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)))
     tops = dealt.groupBy("__p").agg(F.max(at).alias("__top"))
     tops = tops.withColumn("__before", F.max("__top").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__before")

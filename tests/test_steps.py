@@ -51,6 +51,25 @@ def test_cooldown_on_a_shared_clock(spark):
     assert [r.allowed for r in got.orderBy("seq").collect()] == [True, True, False, False, True, False]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_cooldown_keeps_every_row_at_size(spark, adaptive):
+    """Many wide rows over many partitions, against a plain replay."""
+    n, period = 300_000, 50_000
+    rows = spark.range(n).select(F.col("id").alias("seq"), (F.xxhash64("id") % 97).alias("key"), (F.col("id") * 10 + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(4000))).alias("at"), F.repeat(F.lit("wide "), 20).alias("note"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = folds.cooldown(rows, ["key"], "seq", "at", period).select("seq", "allowed").toPandas().set_index("seq")["allowed"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    clock, last, want = None, {}, {}
+    for r in rows.select("seq", "key", "at").toPandas().sort_values("seq").itertuples():
+        clock = r.at if clock is None else max(clock, r.at)
+        want[r.seq] = r.key not in last or clock - last[r.key] >= period
+        if want[r.seq]:
+            last[r.key] = clock
+    assert len(got) == n and got.to_dict() == want
+
+
 def _rows(seed, n=200):
     rng = random.Random(seed)
     return [(i, rng.choice("abc"), rng.choice([rng.uniform(-5, 5), float("nan")] + [rng.uniform(-5, 5)] * 8), int(rng.uniform(0, 40)) * SEC + i * SEC // 4) for i in range(n)]
