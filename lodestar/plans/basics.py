@@ -102,18 +102,11 @@ def stats_correlate(spark, d):
 
 
 @_register(
-    """WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag AS family, (l_extendedprice % 1000) / 20000 AS p FROM lineitem WHERE l_linenumber = 1
+    """WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag AS family, (l_extendedprice % 1000) / 20000 AS p FROM lineitem
 ), r AS (SELECT *, count(*) OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM f)
-SELECT l_orderkey, family, round(least(1, min(m * p / k) OVER (PARTITION BY family ORDER BY k DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM r"""
+SELECT l_orderkey, l_linenumber, family, round(least(1, min(m * p / k) OVER (PARTITION BY family ORDER BY k DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM r"""
 )
 def stats_benjamini_hochberg(spark, d):
-    rows = _t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.col("l_returnflag").alias("family"), (F.col("l_extendedprice") % 1000 / 20000).alias("p"))
-    return C.benjamini_hochberg(rows, ["family"], "p").select("l_orderkey", "family", _r("q", 8).alias("q"))
-
-
-@_register()
-def stats_benjamini_hochberg_whole(spark, d):
-    """The families over all of lineitem; the query above keeps the first lines only, as its SQL does."""
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"), (F.col("l_extendedprice") % 1000 / 20000).alias("p"))
     return C.benjamini_hochberg(rows, ["family"], "p").select("l_orderkey", "l_linenumber", "family", _r("q", 8).alias("q"))
 
@@ -336,18 +329,12 @@ def _chains(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(
-    """WITH RECURSIVE b AS (SELECT event_id % 20 AS chain, event_id AS seq, encode(event_id || '|' || event_type || '|' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) AS body, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS i FROM events WHERE event_id < 2000
+    """WITH RECURSIVE b AS (SELECT event_id % 20 AS chain, event_id AS seq, encode(event_id || '|' || event_type || '|' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)) AS body, row_number() OVER (PARTITION BY event_id % 20 ORDER BY event_id) AS i FROM events
 ), c AS (SELECT chain, seq, i, '' AS prev, sha256(encode('lodestar-chain-1') || '\\x00'::BLOB || body) AS hash FROM b WHERE i = 1
   UNION ALL SELECT b.chain, b.seq, b.i, c.hash, sha256(encode('lodestar-chain-1') || encode(c.hash) || '\\x00'::BLOB || b.body) FROM c JOIN b ON b.chain = c.chain AND b.i = c.i + 1)
 SELECT chain, seq, prev, hash FROM c"""
 )
 def chain_seal(spark, d):
-    """The first 2,000 ids, as the recursive SQL has them; the ids below the cut lead each chain, so links are those of the whole."""
-    return _chains(spark, d).where("seq < 2000").select("chain", "seq", "prev", "hash")
-
-
-@_register()
-def chain_seal_whole(spark, d):
     return _chains(spark, d).select("chain", "seq", "prev", "hash")
 
 

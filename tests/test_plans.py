@@ -17,12 +17,3 @@ def test_entry_runs(spark):
 
     got = __spark_entry__.entry(spark)
     assert got.count() == 5 and "rho" in got.columns
-
-
-def test_benjamini_hochberg_of_all_lines(spark):
-    """The registered SQL without its filter, with the line's number."""
-    sql = basics.SQL["stats_benjamini_hochberg"].replace(" WHERE l_linenumber = 1", "").replace("l_orderkey,", "l_orderkey, l_linenumber,")
-    names, want = rows_of_sql(sql, SF)
-    got = basics.QUERIES["stats_benjamini_hochberg_whole"](spark, SF)
-    assert "l_linenumber" in names and len(want) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert rows_of_frame(got) == (names, want)
