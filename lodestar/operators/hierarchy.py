@@ -1,66 +1,114 @@
-"""Hierarchies as edge tables (id, parent, own); a root is its own parent."""
+"""Hierarchies as edge tables (id, parent, own); a root is its own parent.
+
+Values climb by doubling: after k steps each node knows its ancestor 2**k levels up and
+the answer for what lies fewer levels away. A tree of n nodes and depth d takes log2(d)
+steps over n rows, each written to the shared folder; no table of all pairs of ancestor
+and descendant is made. A parent that is no node passes nothing up.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..semantics import settled
+from ..semantics import finite, settled
 
 
 class TreeError(ValueError):
     """An edit that the structure does not allow, or edges that are no forest."""
 
 
-def closure(edges: DataFrame, drop_cycles: bool = False) -> DataFrame:
-    """(root, id, depth): each node with each of its ancestors and itself, by doubling of paths.
+def _ups(edges: DataFrame) -> DataFrame:
+    return edges.select("id", F.when(F.col("id") != F.col("parent"), F.col("parent")).alias("up"))
+
+
+def _climb(edges: DataFrame, start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], drop_cycles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ups, values): ``step`` takes both and gives the values of twice the height.
 
-    Each step joins paths of length up to 2**k with themselves, so a tree of depth d
-    takes log2(d) joins, each written to the shared folder, until none is longer. A node
-    that is its own ancestor raises :class:`TreeError`; with ``drop_cycles``, for edges
-    of one parent a node, paths that end on a cycle are left out instead.
+    ``up`` is null once a node's ancestors are all counted. Where some are left after
+    more steps than the nodes allow, there is a cycle: :class:`TreeError`, or with
+    ``drop_cycles`` the result as it is, in which only such nodes still have an ``up``.
     """
-    up = edges.select("id", "parent")
-    paths = settled(up.select("id", F.col("parent").alias("root"), F.lit(1).alias("depth")).where("id <> root"))
-    length = 1
-    while True:
-        step = paths.where(F.col("depth") == length).select(F.col("id").alias("low"), F.col("root").alias("mid"))
-        more = settled(step.join(paths.select(F.col("id").alias("mid"), "root", "depth"), "mid").select(F.col("low").alias("id"), "root", (F.col("depth") + length).alias("depth")))
-        if not more.take(1):
-            break
-        around = more.where("id = root").select("root")
-        found = around.take(1)
-        if found and not drop_cycles:
-            raise TreeError(f"{found[0][0]!r} is on a cycle")
-        paths = paths.union(more)
-        paths = settled(paths.join(around.distinct(), "root", "left_anti").select("id", "root", "depth") if found else paths)
-        length *= 2
-    return paths.select("root", "id", "depth").union(up.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    nodes, most = None, 1
+    ups, values = _ups(edges), start
+    while ups.where("up is not null").first():
+        nodes = edges.count() if nodes is None and most >= 64 else nodes
+        if nodes is not None and most > nodes:
+            if drop_cycles:
+                break
+            raise TreeError(f"{ups.where('up is not null').first()['id']!r} never reaches a root")
+        values = settled(step(ups, values))
+        far = ups.select(F.col("id").alias("__mid"), F.col("up").alias("__far"))
+        ups = settled(ups.join(far, F.col("up") == F.col("__mid"), "left").select("id", F.col("__far").alias("up")))
+        most *= 2
+    return ups, values
+
+
+def _adding(ups: DataFrame, values: DataFrame) -> DataFrame:
+    low = values.join(ups.where("up is not null"), "id")
+    more = low.groupBy(F.col("up").alias("__to")).agg(F.sum("total").alias("__more"))
+    return values.join(more, F.col("id") == F.col("__to"), "left").select("id", F.when(F.col("__more").isNotNull(), F.coalesce("total", F.lit(0.0)) + F.col("__more")).otherwise(F.col("total")).alias("total"))
 
 
 def subtree_sums(edges: DataFrame) -> DataFrame:
-    own = edges.select("id", "own")
-    return closure(edges).join(own, "id").groupBy(F.col("root").alias("id")).agg(F.sum("own").alias("total"))
+    """(id, total): own values of each node and all below it; null where all are null."""
+    return _climb(edges, edges.select("id", F.col("own").alias("total")), _adding)[1]
 
 
 def subtree_max(edges: DataFrame) -> DataFrame:
-    """Largest own value in each subtree and who holds it; ties go to the smaller id."""
-    rows = closure(edges).join(edges.select("id", "own"), "id")
-    return rows.groupBy(F.col("root").alias("__r")).agg(F.max("own").alias("largest"), F.min_by("id", F.struct(-F.col("own"), F.col("id"))).alias("holder")).withColumnRenamed("__r", "id")
+    """Largest own value in each subtree and who holds it; ties go to the smaller id, nulls do not count."""
+
+    def step(ups: DataFrame, values: DataFrame) -> DataFrame:
+        low = values.join(ups.where("up is not null"), "id").select(F.col("up").alias("id"), "best")
+        return values.union(low.join(values.select("id"), "id", "left_semi")).groupBy("id").agg(F.min("best").alias("best"))
+
+    best = F.when(F.col("own").isNotNull(), F.struct((-F.col("own")).alias("less"), F.col("id").alias("holder")))
+    got = _climb(edges, edges.select("id", best.alias("best")), step)[1]
+    return got.select("id", (-F.col("best.less")).alias("largest"), F.col("best.holder").alias("holder"))
 
 
 def top_k(edges: DataFrame, k: int, by_total: bool = False) -> DataFrame:
     """The ``k`` heaviest descendants of each node, by own value or by subtree total; ties by id."""
     weight = subtree_sums(edges).select("id", F.col("total").alias("weight")) if by_total else edges.select("id", F.col("own").alias("weight"))
-    rows = closure(edges).where("depth > 0").join(weight, "id")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("weight"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("root", "id", "weight", "rank")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "node"))
+
+    # One more than asked for, as a node may be among its own heaviest until the end.
+    def step(ups: DataFrame, values: DataFrame) -> DataFrame:
+        low = values.join(ups.where("up is not null"), "id").select(F.col("up").alias("id"), "node", "weight")
+        return values.union(low).withColumn("__rank", rank).where(F.col("__rank") <= k + 1).drop("__rank")
+
+    got = _climb(edges, weight.select("id", F.col("id").alias("node"), "weight"), step)[1]
+    rows = got.where("id <> node").join(edges.select("id"), "id", "left_semi").withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.select(F.col("id").alias("root"), F.col("node").alias("id"), "weight", "rank")
+
+
+def _lengthening(ups: DataFrame, values: DataFrame) -> DataFrame:
+    above = values.select(F.col("id").alias("__mid"), F.col("path").alias("__path"))
+    both = values.join(ups, "id").join(above, F.col("up") == F.col("__mid"), "left")
+    return both.select("id", F.when(F.col("__path").isNotNull(), F.concat("__path", "path")).otherwise(F.col("path")).alias("path"))
 
 
 def paths(edges: DataFrame) -> DataFrame:
     """(id, path, depth): ids from the root down to the node."""
-    up = closure(edges)
-    return up.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("depth"), F.col("root").alias("node")))), lambda x: x["node"]).alias("path"), F.max("depth").alias("depth"))
+    got = _climb(edges, edges.select("id", F.array("id").alias("path")), _lengthening)[1]
+    return got.withColumn("depth", F.size("path") - 1)
+
+
+def below(edges: DataFrame, node) -> DataFrame:
+    """(id): ``node`` and all its descendants; none where it is no node."""
+
+    def step(ups: DataFrame, values: DataFrame) -> DataFrame:
+        above = values.where("inside").select(F.col("id").alias("__mid"))
+        near = ups.join(above, F.col("up") == F.col("__mid"), "left_semi").select("id")
+        return values.join(near.withColumn("__near", F.lit(True)), "id", "left").select("id", (F.col("inside") | F.coalesce("__near", F.lit(False))).alias("inside"))
+
+    return _climb(edges, edges.select("id", (F.col("id") == F.lit(node)).alias("inside")), step)[1].where("inside").select("id")
+
+
+def children(edges: DataFrame, node) -> DataFrame:
+    return edges.where((F.col("parent") == F.lit(node)) & (F.col("id") != F.lit(node))).select("id")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -76,26 +124,78 @@ def check(edges: DataFrame) -> DataFrame:
     twice = edges.groupBy("id").count().where("count > 1").select("id", F.lit("exists").alias("problem"))
     ids = edges.select(F.col("id").alias("parent")).distinct()
     orphan = edges.join(ids, "parent", "left_anti").select("id", F.lit("unknown parent").alias("problem"))
-    roots = edges.where("id = parent").select(F.col("id").alias("root"))
-    reached = closure(edges.dropDuplicates(["id"]), drop_cycles=True).join(roots, "root", "left_semi").select("id").distinct()
-    loop = edges.join(reached, "id", "left_anti").join(orphan.select("id"), "id", "left_anti").select("id", F.lit("cycle or below an unknown parent").alias("problem"))
+    once = edges.dropDuplicates(["id"])
+
+    # The farthest ancestor known; a root where one is reached.
+    def step(ups: DataFrame, values: DataFrame) -> DataFrame:
+        above = values.select(F.col("id").alias("__mid"), F.col("top").alias("__top"))
+        return values.join(ups, "id").join(above, F.col("up") == F.col("__mid"), "left").select("id", F.coalesce("__top", "up", "top").alias("top"))
+
+    ups, tops = _climb(once, once.select("id", F.col("id").alias("top")), step, drop_cycles=True)
+    roots = once.where("id = parent").select(F.col("id").alias("top"))
+    reached = tops.join(ups.where("up is null"), "id").join(roots, "top", "left_semi").select("id")
+    loop = once.join(reached, "id", "left_anti").join(orphan.select("id"), "id", "left_anti").select("id", F.lit("cycle or below an unknown parent").alias("problem"))
     return twice.union(orphan).union(loop)
 
 
+def _refuse(rows: DataFrame, why: str) -> None:
+    bad = rows.first()
+    if bad is not None:
+        raise TreeError(f"{bad[0]!r} {why}")
+
+
 def add(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    return edges.unionByName(rows)
+    """``edges`` with new nodes ``rows`` (id, parent, own); roots are their own parents.
+
+    An id that is there already or twice in ``rows``, a parent that is neither there nor
+    among ``rows``, and an own value that is not finite raise :class:`TreeError`.
+    """
+    _refuse(rows.join(edges.select("id"), "id", "left_semi").select("id"), "exists")
+    _refuse(rows.groupBy("id").count().where("count > 1").select("id"), "is added twice")
+    known = edges.select(F.col("id").alias("parent")).union(rows.select("id"))
+    _refuse(rows.join(known, "parent", "left_anti").select("parent"), "is unknown")
+    _refuse(rows.where(F.col("own").isNotNull() & ~finite(F.col("own"))).select("id"), "has a value that is not finite")
+    both = edges.unionByName(rows)
+    _climb(rows, rows.select("id"), lambda _, values: values)  # new nodes may not be a cycle of their own
+    return both
+
+
+def add_root(edges: DataFrame, node, own: float = 0.0) -> DataFrame:
+    kinds = {f.name: f.dataType for f in edges.schema.fields}
+    row = edges.sparkSession.range(1).select(*[F.lit({"id": node, "parent": node, "own": own}.get(c)).cast(k).alias(c) for c, k in kinds.items()])
+    return add(edges, row)
+
+
+def own_value(edges: DataFrame, node) -> float:
+    """The node's own value, 0 where it has none; an unknown node raises."""
+    row = edges.where(F.col("id") == F.lit(node)).select("own").first()
+    if row is None:
+        raise TreeError(f"{node!r} is unknown")
+    return row[0] or 0.0
+
+
+def set_own(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """``edges`` with the own values of ``values`` (id, own) in place; unknown ids and values that are not finite raise."""
+    _refuse(values.join(edges.select("id"), "id", "left_anti").select("id"), "is unknown")
+    _refuse(values.where(~finite(F.col("own"))).select("id"), "has a value that is not finite")
+    new = values.select("id", F.col("own").alias("__own"))
+    return edges.join(new, "id", "left").withColumn("own", F.coalesce("__own", "own")).select(*edges.columns)
 
 
 def move(edges: DataFrame, node, parent) -> DataFrame:
-    if closure(edges).where((F.col("root") == node) & (F.col("id") == parent)).limit(1).count():
+    for one in (node, parent):
+        if edges.where(F.col("id") == F.lit(one)).first() is None:
+            raise TreeError(f"{one!r} is unknown")
+    if node != parent and below(edges, node).where(F.col("id") == F.lit(parent)).first():
         raise TreeError(f"{parent!r} is below {node!r}")
     return edges.withColumn("parent", F.when(F.col("id") == F.lit(node), F.lit(parent)).otherwise(F.col("parent")))
 
 
 def remove(edges: DataFrame, node, subtree: bool = False) -> DataFrame:
-    below = closure(edges).where(F.col("root") == F.lit(node)).select("id")
+    if edges.where(F.col("id") == F.lit(node)).first() is None:
+        raise TreeError(f"{node!r} is unknown")
     if subtree:
-        return edges.join(below, "id", "left_anti")
-    if below.limit(2).count() > 1:
+        return edges.join(below(edges, node), "id", "left_anti")
+    if children(edges, node).first():
         raise TreeError(f"{node!r} has children")
     return edges.where(F.col("id") != F.lit(node))

@@ -54,7 +54,10 @@ def clamped(by: list[str], arrival: list[str], at: str) -> Column:
 
 def shared_folder(spark) -> str:
     """A new folder name in the place every executor sees; one of this machine only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lodestar-shared"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else f"file://{tempfile.gettempdir()}/lodestar-shared"
     return f"{named.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 

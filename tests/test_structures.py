@@ -45,7 +45,7 @@ def test_tree_check(spark):
 
 def test_deep_tree(spark):
     """Nothing is cut at any depth."""
-    n = 300
+    n = 100
     deep = spark.createDataFrame([(k, max(0, k - 1), float(k)) for k in range(n)], "id long, parent long, own double").cache()
     assert {r.id: r.total for r in H.subtree_sums(deep).collect()} == {k: sum(range(k, n)) for k in range(n)}
     assert {(r.largest, r.holder) for r in H.subtree_max(deep).collect()} == {(n - 1.0, n - 1)}
@@ -56,6 +56,37 @@ def test_deep_tree(spark):
     assert [r.id for r in H.remove(deep, 1, subtree=True).collect()] == [0]
 
 
+def test_very_deep_tree(spark):
+    n = 5000
+    deep = spark.range(n).select("id", F.greatest(F.lit(0), F.col("id") - 1).alias("parent"), F.lit(1.0).alias("own"))
+    totals = H.subtree_sums(deep)
+    assert totals.agg(F.sum("total")).first()[0] == n * (n + 1) / 2 and totals.where("id = 0").first().total == n
+
+
+def test_guarded_edits(spark, edges):
+    def refused(f, *args):
+        with pytest.raises(H.TreeError):
+            f(*args)
+
+    def new(*rows):
+        return spark.createDataFrame(rows, "id string, parent string, own double")
+
+    refused(H.add, edges, new(("b", "a", 1.0)))
+    refused(H.add, edges, new(("n", "nowhere", 1.0)))
+    refused(H.add, edges, new(("n", "a", 1.0), ("n", "b", 1.0)))
+    refused(H.add, edges, new(("n", "m", 1.0), ("m", "n", 1.0)))
+    refused(H.add, edges, new(("n", "a", float("inf"))))
+    grown = H.add_root(H.add(edges, new(("m", "n", 2.0), ("n", "f", 1.0))), "r2", 4.0)
+    assert {r.id: r.total for r in H.subtree_sums(grown).collect()}["a"] == 17.5 and H.own_value(grown, "r2") == 4.0
+    assert {r.id for r in H.children(grown, "a").collect()} == {"b", "c"} and {r.id for r in H.below(grown, "d").collect()} == {"d", "f", "n", "m"}
+    refused(H.own_value, edges, "nowhere")
+    refused(H.set_own, edges, spark.createDataFrame([("nowhere", 1.0)], "id string, own double"))
+    refused(H.set_own, edges, spark.createDataFrame([("a", float("nan"))], "id string, own double"))
+    refused(H.move, edges, "nowhere", "a")
+    refused(H.remove, edges, "nowhere")
+    assert H.own_value(H.set_own(edges, spark.createDataFrame([("a", 9.0)], "id string, own double")), "a") == 9.0
+
+
 def test_cycles_raise_and_are_found(spark):
     rows = [(0, 0, 1.0), (1, 0, 1.0)] + [(k, k - 1 if k > 10 else 89, 1.0) for k in range(10, 90)] + [(100, 50, 1.0), (101, 100, 1.0)]
     edges = spark.createDataFrame(rows, "id long, parent long, own double")
@@ -265,7 +296,7 @@ def test_chain_is_a_streaming_fold(spark):
 def test_whole_of_events_is_sealed(spark, tmp_path):
     rows = [(k, "t", 1.5) for k in range(2500)]
     spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {(r.chain, r.seq): (r.prev, r.hash) for r in basics.QUERIES["chain_seal_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.chain, r.seq): (r.prev, r.hash) for r in basics.QUERIES["chain_seal"](spark, str(tmp_path)).collect()}
     assert len(got) == 2500
     for c in range(20):
         prev = ""
