@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import langid, registry, toxicity
 
@@ -9,6 +11,7 @@ from ..conftest import SF
 from ..oracle import rows_of_frame, rows_of_sql
 from . import brute
 
+WIDE = "/root/testdata/sf0.1"
 EN, DE = "the of and that with over under this when people river house".split(), "der die und nicht mit unter über dies wenn leute fluß haus".split()
 
 
@@ -55,6 +58,30 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, empty).collect()} == {0}
 
 
+@pytest.mark.skipif(not os.path.isdir(WIDE), reason="needs the larger tables")
+def test_toxicity_of_held_out_rows(spark):
+    """Recall and false alarms over all held-out rows of the registered query."""
+    labels = spark.read.parquet(f"{WIDE}/labels.parquet").select("doc_id", "toxic")
+    got = registry.queries()["op9_toxicity"](spark, WIDE).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r[0], r[1]): r[2] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_toxicity_of_ties_repeats_and_long_texts(spark):
+    rows = [(i, "quiet words here today" if i % 2 else "vile grumbaking here", i) for i in range(60)]
+    extra = "doc_id long, text string, `a b` long, predicted string"
+    docs = spark.createDataFrame([(i, t, i, "old") for i, t, _ in rows] + [(7, "vile grumbaking here", 7, "old"), (61, "plain " * 300_000 + "vile grumbaker", 61, None), (None, None, None, None), (62, "\u4f60\u597d \u4e16\u754c", 1, "x")], extra)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, label int")
+    p = toxicity.Toxicity(z=2.0)
+    model = toxicity.fit(docs.limit(60), labels, p)
+    got = toxicity.score_toxicity(docs.withColumn("s", F.expr("named_struct('c d', 1)")), model, p)
+    assert got.columns == ["doc_id", "text", "a b", "s", "score", "predicted"] and got.count() == 64
+    found = {(r["doc_id"], r["a b"]): r for r in got.collect()}
+    assert found[61, 61].predicted == 1 and found[62, 1].predicted == 0 and found[None, None].predicted == 0
+    assert len({r.score for r in got.where("text = 'vile grumbaking here'").collect()}) == 1
+    assert toxicity.score_toxicity(docs.limit(0), model, p).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_block_max_search_is_exact(seed):
     rng = np.random.default_rng(seed)
