@@ -11,7 +11,6 @@ length that a third of all pieces have is not ranked in one task.
 from __future__ import annotations
 
 import bisect
-import functools
 import itertools
 import zlib
 from array import array
@@ -26,17 +25,22 @@ from pyspark.sql import functions as F
 
 from .common import save
 
-#: Chunks between white space in the cache of one worker; beyond it the cache starts anew.
-CACHE_CHUNKS = 1_000_000
+#: Chunks between white space that a task remembers, about 60 MB; beyond it half of them go.
+CACHE_CHUNKS = 300_000
 
 
 @dataclass(frozen=True)
 class Packing:
-    """``tokenizer``: path of a word-split BPE file; ``end``: the id after each document."""
+    """``tokenizer``: path of a word-split BPE file; ``end``: the id after each document.
+
+    Strings of the file's special tokens in a text get those tokens' ids, as the library
+    has it unless told otherwise; with ``plain``, they are ordinary text.
+    """
 
     tokenizer: str
     length: int = 4096
     end: int = 1
+    plain: bool = False
     slices: int = 256
     with_ids: bool = False
 
@@ -50,11 +54,13 @@ class WordTokenizer:
     library itself; for the rest its normaliser is lower-casing.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        added = self.lib.get_added_tokens_decoder()
+        self.special = {} if plain else {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.V0)
         self.cache: dict[bytes, bytes] = {}
         # Byte-level BPE sees each byte as one printable character.
@@ -89,33 +95,33 @@ class WordTokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of one text as little-endian unsigned 32-bit numbers."""
+        if self.cut is None or not any(t in text for t in self.special):
+            return np.frombuffer(self._ids(text), dtype="<u4")
+        # Special tokens are found in the text as it is, and what lies between stands alone.
+        return np.frombuffer(b"".join([self.special.get(t) or self._ids(t) for t in self.cut.split(text)]), dtype="<u4")
+
+    def _ids(self, text: str) -> bytes:
         cache, out = self.cache, []
         # No match of the pattern holds white space, so each chunk between it stands alone.
         chunks = self._normal(text).encode().split()
-        for at in range(0, len(chunks), 100_000):
-            part = chunks[at : at + 100_000]
+        for at in range(0, len(chunks), CACHE_CHUNKS):
+            part = chunks[at : at + CACHE_CHUNKS]
             try:
                 out.append(b"".join([cache[c] for c in part]))
             except KeyError:
-                new = {c for c in part if c not in cache}
-                if len(cache) + len(new) > CACHE_CHUNKS:
-                    cache.clear()
-                    new = set(part)
-                for c in new:
-                    cache[c] = self._encode(c)
+                for c in part:
+                    if c not in cache:
+                        cache[c] = self._encode(c)
                 out.append(b"".join([cache[c] for c in part]))
-        return np.frombuffer(b"".join(out), dtype="<u4")
-
-
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so its cache outlives a task."""
-    return WordTokenizer(path)
+                if len(cache) > CACHE_CHUNKS:
+                    for c in list(itertools.islice(cache, len(cache) - CACHE_CHUNKS // 2)):
+                        del cache[c]
+        return b"".join(out)
 
 
 def _pieces(p: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(p.tokenizer)
+        tokenizer = WordTokenizer(p.tokenizer, p.plain)  # goes with the task, and its cache with it
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * p.with_ids
         for batch in batches:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)

@@ -13,18 +13,19 @@ from lodestar.llm.queries.packed import packing as production
 def _tok():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(production().tokenizer)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(production().tokenizer)
 
 
-ODD = ["", "  ", "don't I'LL they'Ve", "ΑΣ Σας", "İstanbul ﬁ", "é café", "日本語 テスト", "😀👍🏽 ok", "a b c\x1cd\x85e", "½ x2 Ⅷ 12", "<|endoftext|> x", "\x00a\x1fb", "Hi, there... (ok)!", "word."]
+ODD = ["", "  ", "don't I'LL they'Ve", "ΑΣ Σας", "İstanbul ﬁ", "é café", "日本語 テスト", "😀👍🏽 ok", "a b c\x1cd\x85e", "½ x2 Ⅷ 12", "<|endoftext|> x", "hello <|endoftext|> x", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é<|endoftext|", "\x00a\x1fb", "Hi, there... (ok)!", "word."]
 
 
 def test_ids_equal_the_library():
     own, lib = packing.WordTokenizer(production().tokenizer), _tok()
     for t in ODD:
         assert own.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    plain, lib.encode_special_tokens = packing.WordTokenizer(production().tokenizer, plain=True), True
+    for t in ODD:
+        assert plain.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
 def test_cache_that_overflows_changes_nothing(monkeypatch):
@@ -74,6 +75,8 @@ def test_packing_of_rows(spark):
         assert all(sum(n for _, n in sorted(b)[:k]) == at for k, (at, _) in enumerate(sorted(b))) and sum(n for _, n in b) <= 4096
     assert len(bins) == -(-sum(r.length for r in got) // 4096)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), p).collect() == []
+    clash = spark.createDataFrame([(1, "x y", 9, "z")], "doc_id long, text string, length int, `a b` string")
+    assert [r.length for r in packing.pack(clash.withColumn("cut", F.lit("c")), p).collect()] == [3]
 
 
 def test_matrix_margins_and_law():
