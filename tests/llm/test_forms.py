@@ -162,3 +162,56 @@ def test_sibling_articles_stay():
 
     page = f"<div><p>menu</p>{article('one ')}<p>between</p>{article('two ')}{article('noise ', ' class=comment')}{article('x')}<p>tail</p></div>"
     assert htmltext.main_text(page).split("\n") == [("one " * 30).strip(), "between", ("two " * 30).strip(), "x" * 30]
+
+
+ARTICLE = "<article><h1>Title</h1><p>First paragraph of the article with some words.</p><p>End.</p></article>"
+TEXT = "Title\nFirst paragraph of the article with some words.\nEnd."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="page has-sidebar">{ARTICLE}<div class="sidebar"><p>Some other text that is long enough to be seen.</p></div></div>', TEXT),
+        (f'<div class="content no-sidebar">{ARTICLE}</div>', TEXT),
+        (f'<div class="sidebar wrapper">{ARTICLE}</div><div id="mainNav"><p>Many links and words of a menu are here.</p></div>', TEXT),
+        ('<article><div class="article-header"><h1>My title</h1></div><p>Text of the article that goes on.</p></article>', "My title\nText of the article that goes on."),
+        ('<article><p>Text of the article that goes on.</p><section id="discussion"><p>We discuss.</p></section><section id="social-impact"><p>Impact.</p></section></article>', "Text of the article that goes on.\nWe discuss.\nImpact."),
+        ("<article><p>One article with quite some text in it here.</p></article><article><p>Two.</p></article>", "One article with quite some text in it here.\nTwo."),
+        ("<div><p>A long paragraph of text without any container around it.</p><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p></div>", "A long paragraph of text without any container around it.\na\nb\nc\nd\ne"),
+        ('<body><form action="x"><p>The whole page is in a form, as some servers do it.</p><p>Second.</p></form></body>', "The whole page is in a form, as some servers do it.\nSecond."),
+        ('<article><p title="5" tall">A title with an odd quote in it, and text.</p></article>', "A title with an odd quote in it, and text."),
+        ('<article><p title="a > b">A quoted sign.</p></article>', "A quoted sign."),
+        ('<div class="page"><p>The article without a container, with its text here.</p></div><div id="comments"><p>' + "A reader says very much. " * 40 + "</p></div>", "The article without a container, with its text here."),
+        ('<article><p>Article text that is long enough.</p><div class="comment-list"><article class="comment"><p>Reader text.</p></article></div></article>', "Article text that is long enough."),
+        ('<div class="cookie-banner"><p>' + "We use cookies for many things. " * 4 + "</p></div><div><p>Short article text that is here.</p></div>", "Short article text that is here."),
+        # Ties between runs: the first decides.
+        ("<div><p>abcdefghijklmnopqrstuvwxyz</p></div>" + "<p>.</p>" * 5 + "<div><p>abcdefghijklmnopqrstuvwxyz</p></div>", "abcdefghijklmnopqrstuvwxyz\n.\n.\n.\n.\n.\nabcdefghijklmnopqrstuvwxyz"),
+    ],
+)
+def test_pages_that_names_mislead_about(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_extraction_of_made_pages_equals_what_was_put_in(seed):
+    """Pages put together from known blocks; the expected text never goes through the extractor."""
+    rng = random.Random(seed)
+
+    def words(n):
+        return " ".join(rng.choice(["stone", "river", "café", "a", "of", "München", "x"]) for _ in range(n))
+
+    for _ in range(60):
+        blocks = [words(rng.choice([1, 2, 9, 30])) for _ in range(rng.randint(1, 12))]
+        shown = [rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<p><b>{}</b></p>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>"]).format(b.replace(" ", rng.choice([" ", "\n ", "&#32;", "<i> </i>"]))) for b in blocks]
+        noise = [f"<nav><p>{words(20)}</p></nav>", f'<div class="ad">{words(15)}</div>', f"<footer>{words(30)}</footer>", f'<div class="site-comments"><p>{words(40)}</p></div>', f"<script>var x = '<p>{words(9)}</p>'</script>", f"<!-- {words(9)} -->"]
+        rng.shuffle(noise)
+        cut = rng.randint(0, len(noise))
+        page = "<html><head><title>t</title></head><body>" + "".join(noise[:cut]) + "<article>" + "".join(shown) + "</article>" + "".join(noise[cut:]) + "</body></html>"
+        assert htmltext.main_text(page) == "\n".join(blocks)
+
+
+def test_extraction_keeps_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, None, 5), (2, ARTICLE, 6), (2, ARTICLE, 6), (3, "<p>" + "word " * 400_000 + "</p>", 7)], "page_id long, html string, text int").withColumn("s", F.expr("named_struct('a b', 1)"))
+    got = htmltext.extract_text(pages)
+    assert got.columns == ["page_id", "s", "text"] and sorted(len(r.text) for r in got.collect()) == [0, len(TEXT), len(TEXT), 1_999_999]
+    assert htmltext.extract_text(pages.limit(0)).count() == 0
