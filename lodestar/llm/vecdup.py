@@ -4,13 +4,16 @@ Two unit vectors of cosine c or more are at a squared distance of 2 - 2c or less
 into blocks of coordinates after a rotation, at least one block is within its share of
 that budget. So each block is range-joined under its share: a vector goes to every cell
 of a grid, over the block's first coordinates, that a box of the block's radius around
-it meets; two vectors close enough in the block meet in a cell. Candidates of all blocks
-are verified by cosine in double precision, each pair in one place only: the first block
-that is within budget, and there the smallest cell both are in.
+it meets; two vectors close enough in the block meet in a cell. What travels to all the
+cells is an id and a sketch of eight bytes: the block's coordinates in 64 levels, from
+which a lower bound of the distance follows. A vector follows only to cells where some
+other is within the bound of it. There candidates are verified by cosine in double
+precision, each pair in one place only: the first block that is within budget, and there
+the smallest cell both are in.
 
 Equal vectors form a class first. Crowded cells are compared in tiles. What leaves a
-cell is a count and a link to the smallest linked vector for each of its vectors, never
-the pairs.
+cell is a list of its vectors that have candidates, then a count and a link to the
+smallest linked vector for each of those, never the pairs.
 """
 
 from __future__ import annotations
@@ -23,15 +26,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import forget, save
 from .components import connected_components
 from .wordhash import mix
 
 
+#: Coordinates of a sketch; squared levels that a block's squared radius spans; most blocks.
+_SKETCHED, _LEVELS, _BLOCKS = 8, 20.5, 4096
+
+
 @dataclass(frozen=True)
 class VecDup:
-    """Link at a cosine of ``least``; blocks of ``width`` coordinates, cells over ``grid`` of them."""
+    """Link at a cosine of ``least``; blocks of ``width`` coordinates, cells over ``grid`` (at most 4) of them.
+
+    Vectors of more than 4,096 blocks get wider blocks.
+    """
 
     least: float = 0.98
     width: int = 8
@@ -47,7 +58,8 @@ class Space:
         self.p, self.dim = p, dim
         q, r = np.linalg.qr(np.random.default_rng(p.seed).normal(size=(dim, dim)))
         self.turn = q * np.sign(np.diag(r))
-        self.blocks = [slice(a, min(a + p.width, dim)) for a in range(0, dim, p.width)]
+        width = p.width * -(-dim // (p.width * _BLOCKS))
+        self.blocks = [slice(a, min(a + width, dim)) for a in range(0, dim, width)]
         # A little more than the budget, for rounding; verification is exact.
         self.budgets = [(2 - 2 * p.least) * (b.stop - b.start) / dim + 1e-9 for b in self.blocks]
 
@@ -62,6 +74,13 @@ class Space:
         y = x[:, self.blocks[b]][:, : self.p.grid]
         return np.floor((y - r / 2) / (2 * r)).astype(np.int64), np.floor((y + r / 2) / (2 * r)).astype(np.int64)
 
+    def sketch(self, x: np.ndarray, b: int) -> np.ndarray:
+        """Levels of the first coordinates of block ``b``, six bits each."""
+        step = np.sqrt(self.budgets[b] / _LEVELS)
+        y = x[:, self.blocks[b]][:, :_SKETCHED]
+        level = np.clip(np.floor(y / step) + 32, 0, 63).astype(np.int64)
+        return level @ (np.int64(1) << (6 * np.arange(level.shape[1], dtype=np.int64)))
+
     def key(self, label: np.ndarray, b: int, cell: np.ndarray) -> np.ndarray:
         k = mix(np.asarray(label).astype(np.int64).view(np.uint64) + np.uint64(self.dim * 4096 + b))
         for c in range(cell.shape[-1]):
@@ -78,60 +97,109 @@ def _space(dim: int, p: VecDup) -> Space:
     return _spaces[dim, p]
 
 
+def _rows_of(vec: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, start, size) of the lists of a column, without nulls."""
+    at = vec.offsets.to_numpy().astype(np.int64)
+    return vec.values.to_numpy(zero_copy_only=False), at[:-1], np.diff(at)
+
+
 def _cells(p: VecDup):
+    ups = [np.array(up, dtype=np.int64) for up in itertools.product((0, 1), repeat=p.grid)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                vec = part.column("vec").to_pylist()
-                sizes = np.array([len(v) for v in vec])
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                flat, start, sizes = _rows_of(part.column("vec"))
                 for dim in np.unique(sizes).tolist():
                     own = np.flatnonzero(sizes == dim)
                     s = _space(dim, p)
-                    x = s.place(np.array([vec[i] for i in own], dtype=np.float64))
-                    label = part.column("label").to_numpy(zero_copy_only=False)[own]
-                    keys, rows, blocks = [], [], []
+                    x = s.place(flat[start[own][:, None] + np.arange(dim)].astype(np.float64))
+                    label, cid = (part.column(c).to_numpy(zero_copy_only=False)[own] for c in ("label", "cid"))
+                    keys, sketches, cids = [], [], []
                     for b in range(len(s.blocks)):
                         low, high = s.ranges(x, b)
-                        for up in itertools.product((0, 1), repeat=low.shape[1]):
-                            up = np.array(up)
+                        sketch = s.sketch(x, b) | np.int64(b) << 52
+                        wide = low < high
+                        for up in ups:
                             # A box is as wide as half a cell, so it meets two cells a coordinate at most.
-                            ok = (low + up <= high).all(axis=1)
-                            keys.append(s.key(label[ok], b, low[ok] + up))
-                            rows.append(own[ok])
-                            blocks.append(np.full(len(rows[-1]), b, dtype=np.int32))
-                    take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(blocks)), part.column("cid").take(take)], ["key", "block", "cid"])
+                            if up[low.shape[1] :].any():
+                                continue
+                            step = up[: low.shape[1]]
+                            ok = np.flatnonzero((wide | (step == 0)).all(axis=1))
+                            keys.append(s.key(label[ok], b, low[ok] + step))
+                            sketches.append(sketch[ok] | np.int64(up @ (1 << np.arange(p.grid))) << 48)
+                            cids.append(cid[ok])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sketches)), pa.array(np.concatenate(cids))], ["key", "sketch", "cid"])
 
     return run
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole cells of rows sorted by cell, with the number of each row's cell."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rows is None or not rows.num_rows:
+            continue
+        rows = rows.combine_chunks()
+        key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        # The last cell may go on in the next batch.
+        whole = rows.num_rows if batch is None else int(np.flatnonzero(new)[-1])
+        rest = None if batch is None else rows.slice(whole)
+        if whole:
+            yield rows.slice(0, whole), np.cumsum(new[:whole]) - 1
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that have another within the bound in this cell, told by sketches alone."""
+    for rows, group in _whole_cells(batches):
+        sketch, side, i, j = (rows.column(c).to_numpy() for c in ("sketch", "side", "i", "j"))
+        level = ((sketch[:, None] >> (6 * np.arange(_SKETCHED))) & 63).astype(np.float32)
+        ups, alone = (sketch >> 48) & 15, i == j
+        held = np.zeros(len(sketch), dtype=bool)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        counts = np.diff(np.append(cuts, len(group)))
+        small = np.repeat(counts <= 32, counts)
+        for d in range(1, min(32, int(counts.max(initial=0)))):
+            # Both a cell up in one coordinate meet in the cell below it too.
+            k = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (alone[:-d] | (side[:-d] != side[d:])) & (ups[:-d] & ups[d:] == 0))
+            gap = np.maximum(np.abs(level[k] - level[k + d]) - 1, 0)
+            k = k[(gap * gap).sum(axis=1) <= _LEVELS]
+            held[k] = held[k + d] = True
+        for at, size in zip(cuts[counts > 32].tolist(), counts[counts > 32].tolist(), strict=True):
+            mine = np.arange(at, at + size)
+            one, two = (mine, mine) if alone[at] else (mine[side[mine] == 0], mine[side[mine] == 1])
+            for a in range(0, len(one), 256):
+                own = one[a : a + 256]
+                near = (ups[own][:, None] & ups[two][None, :]) == 0
+                gaps = np.zeros(near.shape, dtype=np.float32)
+                for c in range(_SKETCHED):
+                    gap = np.maximum(np.abs(level[own, c][:, None] - level[two, c][None, :]) - 1, 0)
+                    gaps += gap * gap
+                near &= gaps <= _LEVELS
+                if alone[at]:
+                    near &= own[:, None] != two[None, :]
+                held[own[near.any(axis=1)]] = held[two[near.any(axis=0)]] = True
+        if held.any():
+            kept = rows.filter(pa.array(held)).combine_chunks()
+            block = (sketch[held] >> 52).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[kept.column(c).combine_chunks() for c in ("key", "i", "j", "side", "cid")], pa.array(block)], ["key", "i", "j", "side", "cid", "block"])
+
+
 def _links(p: VecDup):
     """Streams rows sorted by cell; gives links counted and components of each run of whole cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if rows is None or not rows.num_rows:
-                continue
-            rows = rows.combine_chunks()
-            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            # The last cell may go on in the next batch.
-            whole = rows.num_rows if batch is None else int(np.flatnonzero(new)[-1])
-            rest = None if batch is None else rows.slice(whole)
-            if whole:
-                yield from _cells_linked(rows.slice(0, whole), np.cumsum(new[:whole]) - 1, p)
+        for rows, group in _whole_cells(batches):
+            yield from _cells_linked(rows, group, p)
 
     return run
 
 
 def _cells_linked(rows: pa.Table, group: np.ndarray, p: VecDup) -> Iterator[pa.RecordBatch]:
-    vec = rows.column("vec").combine_chunks()
-    sizes = np.diff(vec.offsets.to_numpy())
-    flat = vec.values.to_numpy()[vec.offsets[0].as_py() : vec.offsets[-1].as_py()]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat, starts, sizes = _rows_of(rows.column("vec").combine_chunks())
     key, cid, n, label, block, side, i, j = (rows.column(c).to_numpy() for c in ("key", "cid", "n", "label", "block", "side", "i", "j"))
     key = key.view(np.uint64)
     for dim in np.unique(sizes).tolist():
@@ -231,7 +299,9 @@ def near_vectors(rows: DataFrame, p: VecDup = VecDup()) -> DataFrame:
     empty table.
     """
     spark = rows.sparkSession
-    vec = F.col("embedding").cast("array<double>")
+    held = rows.schema["embedding"].dataType
+    # Vectors travel as they are stored; numbers that are not floats become doubles.
+    vec = F.col("embedding").cast("array<float>" if isinstance(held.elementType, T.FloatType) else "array<double>")
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
     good &= F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
     label = F.when(F.col("label").cast("long").isNotNull(), F.col("label").cast("long"))
@@ -240,13 +310,19 @@ def near_vectors(rows: DataFrame, p: VecDup = VecDup()) -> DataFrame:
     ids = marked.withColumn("cid", F.when(live, F.xxhash64("label", "vec")))
     classes, path = save(ids.where(live).groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec")), "vectors")
     paths = [path]
-    cells, path = save(classes.select("cid", "label", "vec").mapInArrow(_cells(p), "key long, block int, cid long"), "cells")
+    # Made twice, which costs less than to write them.
+    cells = classes.select("cid", "label", "vec").mapInArrow(_cells(p), "key long, sketch long, cid long")
+    crowd = cells.groupBy("key").count().where(f"count > {p.tile}").select("key", F.ceil(F.col("count") / p.tile).cast("int").alias("tiles"))
+    crowd, path = save(crowd, "crowds")
     paths.append(path)
-    crowd = cells.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / p.tile).cast("int").alias("tiles"))
-    held = cells.join(crowd, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
+    dealt = cells.join(crowd, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
     side = F.when(F.col("t") <= F.col("o"), 0).otherwise(1)
-    held = held.select("key", "block", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"), "cid")
-    met = held.join(classes.select("cid", "n", "label", "vec"), "cid")
+    dealt = dealt.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"), "sketch", "cid")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    near, path = save(dealt.mapInArrow(_candidates, "key long, i int, j int, side int, cid long, block int"), "candidates")
+    paths.append(path)
+    met = near.join(classes.select("cid", "n", "label", "vec"), "cid")
     sorted_cells = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     found, path = save(sorted_cells.select("key", "i", "j", "side", "block", "cid", "n", "label", "vec").mapInArrow(_links(p), "cid long, n long, to long"), "found")
     paths.append(path)
