@@ -7,14 +7,15 @@ fingerprints are hits; each hit is extended to the windows around it, which are
 compared in full. Test items shorter than a window are one window of their own
 length, found by their whole hash.
 
-The test side goes to the workers in blocks of at most ``block_bytes`` of text,
-measured before. Usually that is one block; more blocks mean more passes over the
-documents, whose hit positions are then united. Documents are never shuffled.
+The test side goes to the workers in blocks of about ``block_bytes`` of text, measured
+before, as sorted arrays of about five times that size. Usually that is one block; more
+blocks mean more passes over the documents, whose hit positions are then united.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_list_array, byte_chunks
 from .wordhash import ALNUM, grams, hash_words
@@ -37,7 +39,7 @@ class Decontaminate:
     window: int = 8
     k: int = 5
     items: int = 2
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
     share: float = 2.0
 
 
@@ -55,29 +57,42 @@ def _winnow(hashes: np.ndarray, run: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints and windows of one block of test items."""
+    """Fingerprints and windows of one block of test items, in sorted arrays."""
 
     def __init__(self, ids: list[str], texts: list[bytes], p: Decontaminate):
-        self.p = p
+        self.p, self.ids = p, ids
         words, counts = hash_words(texts, ALNUM)
-        prints, at = [], 0
-        windows: dict[int, dict[int, set[int]]] = {}
-        sizes = []
+        prints = [np.zeros(0, np.uint64)]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.sizes = np.zeros(len(ids), np.int64)
+        at = 0
         for item, n in enumerate(counts.tolist()):
             own = words[at : at + n]
             at += n
+            if not n:
+                continue
             size = min(n, p.window)
-            different = set(grams(own, size).tolist()) if n else set()
-            sizes.append(len(different))
-            for h in different:
-                windows.setdefault(size, {}).setdefault(h, set()).add(item)
+            different = np.unique(grams(own, size))
+            self.sizes[item] = len(different)
+            found.setdefault(size, []).append((different, np.full(len(different), item, np.int32)))
             if n >= p.window:
                 g = grams(own, p.k)
                 prints.append(g[_winnow(g, p.window - p.k + 1)])
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.windows = windows
-        self.ids, self.sizes = ids, sizes
-        self.sorted = {n: np.array(sorted(w), dtype=np.uint64) for n, w in windows.items()}
+        self.prints = np.unique(np.concatenate(prints))
+        # By the size of a window: its hashes, and the items of each.
+        self.sorted: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, parts in found.items():
+            hashes, items = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            order = np.argsort(hashes, kind="stable")
+            self.sorted[size], first = np.unique(hashes[order], return_index=True)
+            self.items[size] = np.append(first, len(order)), items[order]
+
+    def items_of(self, size: int, hashes: np.ndarray) -> np.ndarray:
+        """The items of each of some windows that are known, one after the other."""
+        cut, items = self.items[size]
+        at = np.searchsorted(self.sorted[size], hashes)
+        return np.concatenate([items[cut[k] : cut[k + 1]] for k in at])
 
     def _among(self, x: np.ndarray, known: np.ndarray) -> np.ndarray:
         if not len(known):
@@ -124,10 +139,11 @@ class Index:
             rel = own[:, 0] - first[doc]
             np.add.at(mask, rel, 1)
             np.add.at(mask, rel + own[:, 1], -1)
-            held: Counter[int] = Counter()
-            for n, h in {(n, h) for n, h in zip(own[:, 1].tolist(), own[:, 2].view(np.uint64).tolist(), strict=True)}:
-                held.update(self.windows[n][h])
-            yield doc, np.flatnonzero(np.cumsum(mask)[:-1] > 0), {self.ids[i] for i in held}, max(c / self.sizes[i] for i, c in held.items())
+            held = []
+            for size in np.unique(own[:, 1]).tolist():
+                held.append(self.items_of(size, np.unique(own[own[:, 1] == size, 2].view(np.uint64))))
+            items, many = np.unique(np.concatenate(held), return_counts=True)
+            yield doc, np.flatnonzero(np.cumsum(mask)[:-1] > 0), {self.ids[i] for i in items.tolist()}, float((many / self.sizes[items]).max())
 
 
 def grams_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -137,19 +153,29 @@ def grams_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return grams(words[(starts[:, None] + np.arange(n)[None, :])].ravel(), n)[::n]
 
 
+#: The index of the block in use, one for each worker process.
+_built: dict[str, Index] = {}
+
+
+def _index_of(name: str, held, p: Decontaminate) -> Index:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(*held.value, p)
+    return _built[name]
+
+
 def _scan(held, p: Decontaminate):
-    index: list[Index] = []
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not index:
-            index.append(Index(*held.value, p))
+        index = _index_of(name, held, p)
         for batch in batches:
             for a, b, texts in byte_chunks(batch.column("text")):
                 words, counts = hash_words(texts, ALNUM)
                 spots: list[np.ndarray] = [np.zeros(0, np.int64)] * (b - a)
                 items: list[list[str]] = [[]] * (b - a)
                 covered = np.zeros(b - a)
-                for doc, at, own, most in index[0].hits(words, counts):
+                for doc, at, own, most in index.hits(words, counts):
                     spots[doc], items[doc], covered[doc] = at, sorted(own), most
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -165,16 +191,14 @@ def _scan(held, p: Decontaminate):
     return run
 
 
-def _blocks(items: DataFrame, p: Decontaminate) -> list[tuple[list[str], list[bytes]]]:
-    """The test items in blocks of at most ``block_bytes`` of text (or one longer item)."""
+def _blocks(items: DataFrame, p: Decontaminate) -> Iterator[tuple[list[str], list[bytes]]]:
+    """The test items in blocks of about ``block_bytes`` of text, one at a time on the driver."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // (p.block_bytes // 2)) + 1
-    out = []
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        if rows:
-            out.append(([r[0] for r in rows], [r[1].encode() for r in rows]))
-    return out
+        if rows or n == 1:
+            yield [r[0] for r in rows], [r[1].encode() for r in rows]
 
 
 def contamination(docs: DataFrame, bench: DataFrame, p: Decontaminate = Decontaminate(), keep_text: bool = False) -> DataFrame:
@@ -193,10 +217,11 @@ def contamination(docs: DataFrame, bench: DataFrame, p: Decontaminate = Decontam
     carried = [c for c in docs.columns if keep_text or c != "text"]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried], F.xxhash64("text").alias("__text_key")).alias("__row"), "text")
     parts = []
-    for block in _blocks(items, p) or [([], [])]:
+    told = T._parse_datatype_string("n_words long, spots array<int>, items array<string>, covered double")
+    kinds = T.StructType([T.StructField("row", src.schema["__row"].dataType), *told.fields])
+    for block in _blocks(items, p):
         held = spark.sparkContext.broadcast(block)
-        kind = src.schema["__row"].dataType.simpleString()
-        parts.append(src.mapInArrow(_scan(held, p), f"row {kind}, n_words long, spots array<int>, items array<string>, covered double"))
+        parts.append(src.mapInArrow(_scan(held, p), kinds))
     found = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:

@@ -103,3 +103,13 @@ def test_one_item_contaminates_by_share(spark):
         assert got == {1: (1.0, True), 2: (12 / 23, True), 3: (11 / 23, False), 4: (1.0, True), 5: (0.0, False), 6: (0.0, False), 7: (1.0, True)}
         assert sorted(r.doc_id for r in decontam.drop_contaminated(rows, items, q).collect()) == [3, 5, 6]
     assert not any(r.contaminated for r in decontam.contamination(rows, items).collect())
+
+
+def test_contamination_of_long_and_repeated_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "pad " * 400_000 + item, 5), (2, item, 6), (2, item, 6), (3, None, 7)], "doc_id long, text string, n_words int").withColumn("s", F.expr("named_struct('a b', 1)"))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item)], "item_id long, text string")
+    got = decontam.contamination(docs, bench).orderBy("row.doc_id").collect()
+    assert [(r.row.doc_id, r.n_words, len(r.spots), r["items"], r.covered) for r in got] == [(1, 400_010, 10, ["1"], 1.0), (2, 10, 10, ["1"], 1.0), (2, 10, 10, ["1"], 1.0), (3, 0, 0, [], 0.0)]
+    assert decontam.drop_contaminated(docs, bench, decontam.Decontaminate(share=0.5)).select("doc_id", "n_words").collect() == [(3, 7)]
+    assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
