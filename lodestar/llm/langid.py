@@ -1,9 +1,10 @@
 """Language identification by nearest centroid.
 
-A text is a normalised TF-IDF vector of hashed byte trigrams of its letters. Each
-language has several centroids, clustered on a bounded sample of labelled rows. A text
-takes the language of the nearest centroid by cosine, or none where even that is too
-far or the text has no letter.
+A text is a normalised TF-IDF vector of hashed byte trigrams of its letters; document
+frequencies are counted over all rows to fit on. Each language has several centroids,
+clustered on a bounded sample of labelled rows, in one task a language. A text takes the
+language of the nearest centroid by cosine, or none where even that is too far or the
+text has no letter.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_list_array
 from .sampling import fold, sample_ids
@@ -31,14 +33,15 @@ _ROWS = 128
 class LangId:
     """Fit on at most ``per_lang`` rows of each of the ``langs`` commonest languages.
 
-    ``least`` is the cosine below which a text is of no language.
+    ``least`` is the cosine below which a text is of no language; by default half of what
+    all but one in a hundred of the sampled rows have, in the language where that is least.
     """
 
     per_lang: int = 600
     langs: int = 256
     centroids: int = 4
     bits: int = 13
-    least: float = 0.0
+    least: float | None = None
     seed: int = 5
     none: str = "und"
 
@@ -48,6 +51,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
+    least: float = 0.0
 
 
 def trigram_counts(texts: list[str], bits: int) -> np.ndarray:
@@ -96,34 +100,66 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centre
 
 
+def _slots_held(bits: int):
+    """Texts with each slot, one row a slot and task; slot -1 counts all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros(1 << bits, np.int64), 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                counts = trigram_counts(batch.slice(a, _ROWS).column("text").to_pylist(), bits)
+                held += (counts > 0).sum(axis=0)
+                n += len(counts)
+        slots = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1).astype(np.int32)), pa.array(np.append(held[slots], n))], ["slot", "n"])
+
+    return run
+
+
+def _centroids_of(idf: np.ndarray, p: LangId):
+    def run(rows: pa.Table) -> pa.Table:
+        got = sorted(zip(rows.column("slots").to_pylist(), rows.column("counts").to_pylist(), strict=True))
+        counts = np.zeros((len(got), 1 << p.bits), dtype=np.float32)
+        for i, (slots, n) in enumerate(got):
+            counts[i, slots] = n
+        x = _vectors(counts, idf)
+        centre = _cluster(x, p.centroids, np.random.default_rng(p.seed)).astype(np.float32)
+        low = float(np.quantile((x @ centre.T).max(axis=1), 0.01))
+        return pa.table({"label": [rows.column("label")[0].as_py()] * len(centre), "centre": [c.tobytes() for c in centre], "low": [low] * len(centre)})
+
+    return run
+
+
 def fit(docs: DataFrame, p: LangId = LangId()) -> Model:
-    """Fit on rows of ``docs`` (doc_id, text, lang) with a text and a language."""
-    ids = sample_ids(docs.where("text is not null"), "lang", p.per_lang, p.langs)
-    # At most per_lang * langs ids.
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    got = rows.select("label", "text").mapInArrow(_sparse(p.bits), "label string, slots array<int>, counts array<float>").collect()
-    got = sorted((r for r in got if r[1]), key=lambda r: (r[0], r[1], r[2]))
-    counts = np.zeros((len(got), 1 << p.bits), dtype=np.float32)
-    for i, r in enumerate(got):
-        counts[i, r[1]] = r[2]
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, labels = _vectors(counts, idf), np.array([r[0] for r in got])
-    centres, langs = [np.zeros((0, 1 << p.bits), np.float32)], []
-    for lang in sorted(set(labels.tolist())):
-        own = _cluster(x[labels == lang], p.centroids, np.random.default_rng(p.seed))
-        centres.append(own)
-        langs += [lang] * len(own)
-    return Model(idf, np.concatenate(centres).astype(np.float32), langs)
+    """Fit on rows of ``docs`` (doc_id, text, lang) with a text and a language.
+
+    Centroids reach the driver, and one count a slot, never rows.
+    """
+    docs = docs.where("text is not null and lang is not null")
+    held = dict(docs.select("text").mapInArrow(_slots_held(p.bits), "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
+    df = np.zeros(1 << p.bits)
+    for slot, n in held.items():
+        if slot >= 0:
+            df[slot] = n
+    idf = (np.log((1 + held.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
+    ids = sample_ids(docs, "lang", p.per_lang, p.langs)
+    # At most per_lang * langs ids, and as many rows a language in a task.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sparse = rows.select("label", "text").mapInArrow(_sparse(p.bits), "label string, slots array<int>, counts array<float>").where("size(slots) > 0")
+    got = sorted(sparse.groupBy("label").applyInArrow(_centroids_of(idf, p), "label string, centre binary, low double").collect())
+    centroids = np.array([np.frombuffer(r[1], np.float32) for r in got]).reshape(len(got), 1 << p.bits)
+    return Model(idf, centroids, [r[0] for r in got], 0.5 * min((r[2] for r in got), default=0.0))
 
 
 def predict(model: Model, texts: list[str | None], p: LangId) -> tuple[list[str], np.ndarray]:
     lang, score = [p.none] * len(texts), np.zeros(len(texts))
     live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    least = model.least if p.least is None else p.least
     if live and model.langs:
         x = _vectors(trigram_counts([texts[i] for i in live], p.bits), model.idf) @ model.centroids.T
         best = x.argmax(axis=1)
         for i, k, s in zip(live, best.tolist(), x[np.arange(len(live)), best].tolist(), strict=True):
-            if s >= p.least:
+            if s >= least:
                 lang[i], score[i] = model.langs[k], min(1.0, max(0.0, s))
     return lang, score
 
@@ -147,8 +183,8 @@ def identify(docs: DataFrame, model: Model, p: LangId = LangId()) -> DataFrame:
                 lang, score = predict(held.value, part.column("text").to_pylist(), p)
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    plain = docs.select(*[F.col(f"`{n}`") for n in names])
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *T._parse_datatype_string("lang_pred string, score double").fields]))
 
 
 def held_out(parts: int, which: int):

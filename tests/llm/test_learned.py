@@ -40,6 +40,14 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     far = langid.LangId(least=0.999)
     assert {r.lang_pred for r in langid.identify(docs.limit(20), model, far).collect()} <= {"und", "en", "de"}
+    strange = spark.createDataFrame([(1, "ქართული ენა საქართველოში"), (2, "when people under this river")], "doc_id long, text string").withColumn("s", F.expr("named_struct('a b', 1)")).withColumn("score", F.lit("old"))
+    got = langid.identify(strange, model)
+    assert got.columns == ["doc_id", "text", "s", "lang_pred", "score"]
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "und", 2: "en"} and 0 < model.least < 1
+    forced = langid.identify(strange.union(strange), model, langid.LangId(least=0.0)).where("doc_id = 1").collect()
+    assert len(forced) == 2 and {r.lang_pred for r in forced} <= {"en", "de"} and len({r.score for r in forced}) == 1
+    long = spark.createDataFrame([(1, "der fluß und die leute " * 100_000)], "doc_id long, text string")
+    assert langid.identify(long, model).first().lang_pred == "de"
     none = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
