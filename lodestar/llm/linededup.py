@@ -117,7 +117,9 @@ def keep_bitmaps(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     kinds, kinds_path = save(dealt.mapInArrow(_stream, "kind int, a long, b long, doc_id long, row_key long, pos int, part int"), "runs")
     forget(spark, path)
     ends = kinds.where("kind = 2").select("a", "b", F.col("doc_id").alias("first_doc"), F.col("part").alias("end_part"))
-    # Of all earlier partitions that end in this key, the smallest document decides.
+    # Documents ascend within a key, so of all partitions that end in it the first has the
+    # smallest, and that decides for the openings of all later ones.
+    ends = ends.groupBy("a", "b").agg(F.min("first_doc").alias("first_doc"), F.min("end_part").alias("end_part"))
     doubt = kinds.where("kind = 1").join(F.broadcast(ends) if n <= 10_000 else ends, ["a", "b"]).where("end_part < part and first_doc < doc_id").select("doc_id", "row_key", "pos").distinct()
     drops = kinds.where("kind = 0").select("doc_id", "row_key", "pos").union(doubt)
     lists = drops.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("dropped"))
@@ -167,5 +169,4 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     both = with_bitmaps(plain, p)
     names = [*plain.columns, "n_dropped"]
     src = both.withColumnRenamed("__n_dropped", "n_dropped")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*[f"`{n}`" for n in names]).schema)
-    return src.mapInArrow(_apply(names), kinds)
+    return src.mapInArrow(_apply(names), src.select(*[F.col(f"`{n}`") for n in names]).schema)
