@@ -15,6 +15,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = _U(0x9E3779B97F4A7C15)
 _INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Powers that stay in a worker; longer texts make their own.
+_KEPT = 1 << 19
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 #: Words are anything between ASCII white space.
@@ -37,12 +39,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            x = np.full(n, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INV):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if n <= _KEPT:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def hash_words(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
