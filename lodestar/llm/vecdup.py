@@ -35,6 +35,7 @@ from .wordhash import mix
 
 #: Coordinates of a sketch; squared levels that a block's squared radius spans; most blocks.
 _SKETCHED, _LEVELS, _BLOCKS = 8, 20.5, 4096
+_FARTHEST = 1 + int(_LEVELS**0.5)
 
 
 @dataclass(frozen=True)
@@ -152,11 +153,17 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
             yield rows.slice(0, whole), np.cumsum(new[:whole]) - 1
 
 
+def _within(level: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches may be within the radius: levels tell coordinates apart but for one."""
+    gap = np.maximum(np.abs(level[u] - level[v]).astype(np.int32) - 1, 0)
+    return (gap * gap).sum(axis=1) <= _LEVELS
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows that have another within the bound in this cell, told by sketches alone."""
     for rows, group in _whole_cells(batches):
         sketch, side, i, j = (rows.column(c).to_numpy() for c in ("sketch", "side", "i", "j"))
-        level = ((sketch[:, None] >> (6 * np.arange(_SKETCHED))) & 63).astype(np.float32)
+        level = ((sketch[:, None] >> (6 * np.arange(_SKETCHED))) & 63).astype(np.int8)
         ups, alone = (sketch >> 48) & 15, i == j
         held = np.zeros(len(sketch), dtype=bool)
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -165,23 +172,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(1, min(32, int(counts.max(initial=0)))):
             # Both a cell up in one coordinate meet in the cell below it too.
             k = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (alone[:-d] | (side[:-d] != side[d:])) & (ups[:-d] & ups[d:] == 0))
-            gap = np.maximum(np.abs(level[k] - level[k + d]) - 1, 0)
-            k = k[(gap * gap).sum(axis=1) <= _LEVELS]
+            k = k[_within(level, k, k + d)]
             held[k] = held[k + d] = True
         for at, size in zip(cuts[counts > 32].tolist(), counts[counts > 32].tolist(), strict=True):
             mine = np.arange(at, at + size)
             one, two = (mine, mine) if alone[at] else (mine[side[mine] == 0], mine[side[mine] == 1])
+            other = np.ascontiguousarray(level[two].T)
             for a in range(0, len(one), 256):
                 own = one[a : a + 256]
-                near = (ups[own][:, None] & ups[two][None, :]) == 0
-                gaps = np.zeros(near.shape, dtype=np.float32)
-                for c in range(_SKETCHED):
-                    gap = np.maximum(np.abs(level[own, c][:, None] - level[two, c][None, :]) - 1, 0)
-                    gaps += gap * gap
-                near &= gaps <= _LEVELS
-                if alone[at]:
-                    near &= own[:, None] != two[None, :]
-                held[own[near.any(axis=1)]] = held[two[near.any(axis=0)]] = True
+                near = np.ones((len(own), len(two)), dtype=bool)
+                # Most pairs are too far apart in some one coordinate.
+                for c in range(_SKETCHED - 1, -1, -1):
+                    near &= np.abs(level[own, c][:, None] - other[c][None, :]) <= _FARTHEST
+                u, v = np.nonzero(near)
+                u, v = own[u], two[v]
+                ok = (u != v) & (ups[u] & ups[v] == 0)
+                u, v = u[ok], v[ok]
+                ok = _within(level, u, v)
+                held[u[ok]] = held[v[ok]] = True
         if held.any():
             kept = rows.filter(pa.array(held)).combine_chunks()
             block = (sketch[held] >> 52).astype(np.int32)
