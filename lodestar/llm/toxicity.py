@@ -3,8 +3,8 @@
 Examples are a bounded sample of labelled rows. A text is a TF-IDF vector over the
 beginnings of its words, of every length, so that a stem counts however it is inflected.
 Each feature's weight is its TF-IDF times how surely it tells the labels apart: the
-absolute log odds ratio over all labelled rows less ``z`` standard errors, and nothing
-below that. A text's nearest examples by exact cosine come from a block-max inverted
+absolute log odds ratio over all labelled rows less ``z`` standard errors, for ratios
+of ``lean`` or more. A text's nearest examples by exact cosine come from a block-max inverted
 index; distance-weighted votes, weighted by how many rows each example stands for, are
 calibrated on the examples themselves, each judged without itself, and the voters are
 the evidence. A text without any weighted feature gets the rate of such texts.
@@ -26,7 +26,7 @@ from .langid import _KEEP
 from .sampling import sample_ids
 
 _ROWS = 256
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _U = np.uint64
 _BYTE = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64)
 _STEP, _SPREAD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -38,7 +38,9 @@ class Toxicity:
     """At most ``per_label`` examples of each label; features of ``shortest`` to ``longest`` bytes.
 
     Features whose log odds in the sample are ``loose`` standard errors from 0 are
-    counted over all labelled rows; those ``z`` away have a weight. ``k`` examples vote;
+    counted over all labelled rows; those there ``z`` errors and ``lean`` or more away have
+    a weight. Without ``lean``, features would grow with the rows, as any difference,
+    however small, is sure once there are enough. ``k`` examples vote;
     ``prior`` is the weight of the rate of plain texts in a vote. ``predicted`` is 1
     from a score of ``reject`` on.
     """
@@ -48,6 +50,7 @@ class Toxicity:
     longest: int = 12
     loose: float = 2.0
     z: float = 4.0
+    lean: float = 1.0
     k: int = 15
     block: int = 64
     prior: float = 3.0
@@ -303,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model:
     codes, t, c = _counted_over_all(docs, one, codes, p)
     ratio, error = log_odds(t, c, toxic[1], clean[1])
     sure = np.maximum(0.0, np.abs(ratio) - p.z * error)
-    keep = sure > 0
+    keep = (sure > 0) & (np.abs(ratio) >= p.lean)
     n = toxic[1] + clean[1]
     weight = (np.log((1 + n) / (1 + t + c)) + 1)[keep] * sure[keep]
     words = Vocabulary(codes[keep])
