@@ -94,3 +94,19 @@ def crc_fold(doc_id, parts):
 
 def sha(t):
     return hashlib.sha256(t.encode()).hexdigest()
+
+
+def largest_share(docs, items):
+    """{doc_id: largest share of the different windows of one item that are in the text}."""
+    sets = []
+    for _, t in items:
+        w = bench_words(t)
+        n = min(8, len(w))
+        if n:
+            sets.append((n, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}))
+    out = {}
+    for i, t in docs:
+        w = bench_words(t)
+        held = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n, _ in sets}
+        out[i] = max((len(own & held[n]) / len(own) for n, own in sets), default=0.0)
+    return out
