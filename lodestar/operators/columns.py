@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import two_sided_p
-from ..semantics import finite, missing, nan, running, window
+from ..semantics import before, finite, missing, nan, running, settled, window
 
 
 def _if_any_missing(x: Column, value: Column) -> Column:
@@ -58,15 +58,42 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(flat, nan()).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def average_rank(x: str, by: list[str]) -> Column:
-    ties = F.count("*").over(Window.partitionBy(*by, x))
-    return F.rank().over(window(by, [x])) + (ties - 1) / 2.0
+def _match(rows: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has one row for each ``by``; nulls match nulls."""
+    if not by:
+        return rows.crossJoin(F.broadcast(table))
+    keys = table.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(by)})
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
+    return rows.join(keys, on, "left").drop(*[f"__k{i}" for i in range(len(by))])
+
+
+def _placed(values: DataFrame, by: list[str], x: str) -> DataFrame:
+    """Of one row for each value ``x`` of a key, found ``__n`` times: ``__upto``, the key's rows up to that value, and ``__m``, all its rows.
+
+    Values are dealt by range and written once, and a range adds the rows of the ranges
+    before it to its own running sums, so that a key with many values is in many tasks.
+    """
+    dealt = settled(values.repartitionByRange(*[F.col(c) for c in [*by, x]]).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__s"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__s").over(before(by, ["__part"])), F.lit(0))).withColumn("__m", F.sum("__s").over(Window.partitionBy(*by))).drop("__s")
+    return _match(dealt, [*by, "__part"], parts).withColumn("__upto", F.col("__before") + F.sum("__n").over(running([*by, "__part"], [x]))).drop("__before")
+
+
+def _off_centre() -> Column:
+    """Twice a value's average rank less twice the mean rank, a whole number."""
+    return 2 * F.col("__upto") - F.col("__n") - F.col("__m")
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson of average ranks, for each key."""
-    ranked = df.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson(F.col("__rx"), F.col("__ry")).alias("rho"))
+    """Pearson of average ranks, for each key. Ranks are found over different values, and rows meet those of ``x`` only."""
+    at_x = settled(_placed(df.groupBy(*by, x).agg(F.count("*").alias("__n")), by, x).select(*by, x, "__n", _off_centre().alias("__dx")))
+    sums_x = at_x.groupBy(*by).agg(F.sum(F.col("__n") * F.col("__dx").cast("double") * F.col("__dx")).alias("__xx"))
+    rows = _match(df.select(*by, x, F.col(y).alias("__y")), [*by, x], at_x.drop("__n"))
+    at_y = _placed(rows.groupBy(*by, "__y").agg(F.count("*").alias("__n"), F.sum("__dx").alias("__sx")), by, "__y").withColumn("__dy", _off_centre().cast("double"))
+    sums = at_y.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum(F.col("__sx") * F.col("__dy")).alias("__xy"), F.sum(F.col("__n") * F.col("__dy") * F.col("__dy")).alias("__yy"))
+    r = F.col("__xy") / F.nullif(F.sqrt("__xx") * F.sqrt("__yy"), F.lit(0.0))
+    rho = F.when((F.col("__xx") == 0) | (F.col("__yy") == 0), nan()).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return _match(sums, by, sums_x).select(*by, "n", rho.alias("rho"))
 
 
 def correlate(df: DataFrame, by: list[str], x: str, y: str, least: int = 20) -> DataFrame:

@@ -51,6 +51,63 @@ def test_benjamini_hochberg_known_answer(spark):
     assert [got[i][1] for i in range(10)] == [True, True] + [False] * 8
 
 
+ODD = [None, NAN, -0.0, 0.0, float("-inf"), float("inf"), 1.5, 2.0]
+
+
+def _odd(spark, n=4000):
+    """Few keys, one of them null and one of a single row; missing, tied and signed-zero values; dealt over ranges."""
+    rows = [("s" if i == 0 else [None, "a", "b"][i % 3], ODD[i * i % 8] if i % 5 == 0 else float(i * 7919 % 997), ODD[i % 8] if i % 11 == 0 else i * 104729 % 1009 / 1009, i) for i in range(n)]
+    return spark.createDataFrame(rows, "k string, x double, y double, i int")
+
+
+@pytest.fixture
+def narrow_ranges(spark):
+    """Adaptive execution off, so that values stay in as many ranges as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _sort_key(x):
+    return (x is not None, x is not None and x != x, 0.0 if x is None or x != x else x)
+
+
+def test_spearman_of_missing_and_tied_values_across_ranges(spark, narrow_ranges):
+    def ranks(xs):
+        keys = sorted(map(_sort_key, xs))
+        first, times = {}, {}
+        for at, v in enumerate(keys):
+            first.setdefault(v, at)
+            times[v] = times.get(v, 0) + 1
+        return [first[v] + (times[v] + 1) / 2 for v in map(_sort_key, xs)]
+
+    df = _odd(spark)
+    got = {r.k: (r.n, r.rho) for r in C.spearman(df, ["k"], "x", "y").collect()}
+    held = {}
+    for r in df.collect():
+        held.setdefault(r.k, []).append((r.x, r.y))
+    assert got.keys() == held.keys() and got["s"][0] == 1 and math.isnan(got["s"][1])
+    for k in (None, "a", "b"):
+        want = np.corrcoef(ranks([x for x, _ in held[k]]), ranks([y for _, y in held[k]]))[0, 1]
+        assert got[k] == (len(held[k]), pytest.approx(want, abs=1e-12))
+    assert math.isnan(C.spearman(df.withColumn("y", F.lit(1.0)), [], "x", "y").first().rho)
+
+
+@pytest.mark.parametrize("query", ["spearman"])
+def test_no_task_sorts_a_whole_key(spark, query, narrow_ranges):
+    df = spark.range(40_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 40_009 / 40_009.0).alias("x"), (F.col("id") * 104_729 % 40_013 / 40_013.0).alias("y"))
+    if query == "spearman":
+        values = C._placed(df.groupBy("k", "x").agg(F.count("*").alias("__n")), ["k"], "x")
+        plan = C.spearman(df, ["k"], "x", "y")._jdf.queryExecution().executedPlan().toString()
+    else:
+        values = C._placed(df.groupBy("k", "y").agg(F.count("*").alias("__n")), ["k"], "y")
+        plan = C.benjamini_hochberg(df, ["k"], "y")._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in values.groupBy("k", "__part").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    # Windows over a whole key see one row for each range, with its sum or its least q.
+    assert not [line for line in plan.splitlines() if "Window [" in line and not any(c in line for c in ("__part#", "(__s#", "(__least#"))]
+
+
 def test_pearson_of_a_constant(spark):
     df = _one(spark, range(30)).withColumn("y", F.lit(2.0))
     assert math.isnan(df.agg(C.pearson(F.col("x"), F.col("y"))).first()[0])
