@@ -106,12 +106,15 @@ def correlate(df: DataFrame, by: list[str], x: str, y: str, least: int = 20) ->
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, alpha: float = 0.05) -> DataFrame:
-    """q-value of each p-value within its family, and whether it is rejected at ``alpha``."""
+    """q-value of each p-value within its family, and whether it is rejected at ``alpha``. Found over different p-values, which rows then meet."""
     alpha = alpha if 0 < alpha <= 1 else 0.05
-    m = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.withColumn("__r", F.rank().over(window(by, [p])) + F.count("*").over(Window.partitionBy(*by, p)) - 1).withColumn("__q", F.col(p) * m / F.col("__r"))
-    later = Window.partitionBy(*by).orderBy(F.desc("__r")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("__q").over(later))).withColumn("rejected", F.col("q") <= alpha).drop("__r", "__q")
+    placed = _placed(df.groupBy(*by, p).agg(F.count("*").alias("__n")), by, p).withColumn("__q", F.col(p) * F.col("__m") / F.col("__upto"))
+    later = Window.partitionBy(*by, "__part").orderBy(F.desc("__upto")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = settled(placed.withColumn("__q", F.min("__q").over(later)).select(*by, p, "__part", "__q"))
+    after = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*by, "__part").agg(F.min("__q").alias("__least")).withColumn("__after", F.min("__least").over(after)).drop("__least")
+    table = _match(placed, [*by, "__part"], parts).withColumn("q", F.least(F.lit(1.0), "__q", "__after")).select(*by, p, "q")
+    return _match(df, [*by, p], table).withColumn("rejected", F.col("q") <= alpha)
 
 
 def trend(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_spearman_of_missing_and_tied_values_across_ranges(spark, narrow_ranges)
     assert math.isnan(C.spearman(df.withColumn("y", F.lit(1.0)), [], "x", "y").first().rho)
 
 
-@pytest.mark.parametrize("query", ["spearman"])
+@pytest.mark.parametrize("query", ["spearman", "benjamini_hochberg"])
 def test_no_task_sorts_a_whole_key(spark, query, narrow_ranges):
     df = spark.range(40_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 40_009 / 40_009.0).alias("x"), (F.col("id") * 104_729 % 40_013 / 40_013.0).alias("y"))
     if query == "spearman":
@@ -108,6 +108,28 @@ def test_no_task_sorts_a_whole_key(spark, query, narrow_ranges):
     assert not [line for line in plan.splitlines() if "Window [" in line and not any(c in line for c in ("__part#", "(__s#", "(__least#"))]
 
 
+def test_benjamini_hochberg_across_ranges(spark, narrow_ranges):
+    df = _odd(spark).withColumn("z", F.lit(1))
+    got = C.benjamini_hochberg(df, ["k"], "y", 0.5)
+    assert got.columns == [*df.columns, "q", "rejected"]
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.k, []).append(r)
+    assert sum(map(len, held.values())) == 4000
+    for rows in held.values():
+        keys, m = [_sort_key(r.y) for r in rows], len(rows)
+        upto, own = {}, {}
+        for at, v in enumerate(sorted(keys), 1):
+            upto[v] = at
+        for r, v in zip(rows, keys):
+            own[v] = math.inf if r.y is None or r.y != r.y else r.y * m / upto[v]
+        least, q = math.inf, {}
+        for v in sorted(own, reverse=True):
+            least = min(least, own[v])
+            q[v] = min(1.0, least)
+        assert all(r.q == q[v] and r.rejected == (r.q <= 0.5) for r, v in zip(rows, keys))
+
+
 def test_pearson_of_a_constant(spark):
     df = _one(spark, range(30)).withColumn("y", F.lit(2.0))
     assert math.isnan(df.agg(C.pearson(F.col("x"), F.col("y"))).first()[0])
