@@ -106,6 +106,45 @@ def test_search_explains_itself(spark):
     assert {r.doc_id: r.length for r in stop.documents.collect()} == {"a": 1, "b": 1, "c": 0, "d": 0}
 
 
+@pytest.fixture
+def corpus(spark):
+    """Copies that tie, in id order across partitions, empty and null texts, and accents; queries that repeat words, find nothing or have no id."""
+    texts = ["red fox red", "Red dog", "", None, "blue fox jumps", "ÉTÉ été fox", "dog dog dog fox", "nothing here"]
+    docs = spark.createDataFrame([(f"d{i:03d}", texts[i * 7 % 8] if i < 400 else f"w{i % 50} fox w{i % 7} dog") for i in range(600)], "doc_id string, text string")
+    asked = spark.createDataFrame([(1, "red red fox"), (2, "absent"), (3, "w3 w4 dog fox"), (None, "été"), (5, ""), (6, None)], "query_id int, text string")
+    return docs.repartition(7), asked
+
+
+@pytest.mark.parametrize("k", [5, 250])
+def test_search_in_workers_equals_the_join(spark, corpus, k, monkeypatch):
+    docs, asked = corpus
+    monkeypatch.setattr(Q, "CELLS", 64)
+    for p in (Q.Bm25(), Q.Bm25(length_norm=False, stopwords=frozenset({"red"}))):
+        index = Q.build(docs, p)
+        got = sorted(map(tuple, Q.search(index, asked, k).select("query_id", "rank", "doc_id", "score").collect()), key=repr)
+        want = sorted((tuple(r)[:4] for r in Q.search(index, asked, 0).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score").collect()), key=repr)
+        assert got == want and got
+
+
+def test_search_joins_where_ids_repeat_or_queries_are_many(spark, corpus, monkeypatch):
+    docs, asked = corpus
+    twice = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "red fox")], docs.schema))
+    for k, found in ((3, twice), (3, docs)):
+        index = Q.build(found)
+        if found is docs:
+            monkeypatch.setattr(Q, "MOST_ASKED", 2)
+        got = sorted(map(tuple, Q.search(index, asked, k).select("query_id", "rank", "score").collect()), key=repr)
+        want = sorted(map(tuple, Q.search(index, asked, 0).where(F.col("rank") <= k).select("query_id", "rank", "score").collect()), key=repr)
+        assert got == want and got
+    assert Q.search(Q.build(docs), asked.where("query_id > 4"), 5).collect() == []
+
+
+def test_search_does_not_join_postings(spark, corpus):
+    docs, asked = corpus
+    plan = Q.search(Q.build(docs), asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "regexp_extract_all" not in plan
+
+
 def test_chain(spark):
     rows = spark.createDataFrame([(1, k, f"body {k}") for k in range(6)], "c int, seq long, body string")
     sealed = S.chain_seal(rows, ["c"], "seq", "body", "d").cache()
