@@ -115,7 +115,7 @@ def _best(index: Index, asked: DataFrame, k: int) -> DataFrame | None:
     found = table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", _idf(F.lit(totals.n)).alias("idf")).toArrow()
     idf = np.zeros(len(vocabulary))
     idf[found["term"].to_numpy()] = found["idf"].to_numpy()
-    #: Questions by term: those of term t are start[t] to start[t + 1].
+    # Questions by term: those of term t are start[t] to start[t + 1].
     by_term = np.argsort(term_of, kind="stable")
     start = np.searchsorted(term_of[by_term], np.arange(len(vocabulary) + 1))
     owner, worth = owner[by_term], (times * idf[term_of])[by_term]
